@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Rows of a batch handed to Python. Spark's default of 10,000 whole texts would not be small.
 BATCH_ROWS = 1000
@@ -80,7 +82,7 @@ def text_map(df: DataFrame, function: Callable[[list], dict], columns: list[str]
     `function` gets one list per column and returns a dict of output lists. A row is never
     cut; a batch ends once its texts (the last column) exceed `chars`.
     """
-    out = pa.schema([pa.field(f.name, _arrow(f.dataType.simpleString())) for f in _parse(df.sparkSession, schema)])
+    out = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,13 +98,3 @@ def text_map(df: DataFrame, function: Callable[[list], dict], columns: list[str]
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _parse(spark: SparkSession, schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
-
-
-def _arrow(kind: str) -> pa.DataType:
-    if kind.startswith("array<"):
-        return pa.list_(_arrow(kind[6:-1]))
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "binary": pa.binary(), "boolean": pa.bool_()}[kind]

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from vecscore.llm import bpe, media
+from vecscore.llm import bpe, html, langid, media, toxicity
 from vecscore.llm.common import table
 
 
+def op1_html(spark, sf_dir):
+    """Main text of every page by its host's consensus path."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_langid(spark, sf_dir):
+    """Language of every whole text of documents."""
+    return langid.held_out_query(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     """Encode and decode every whole text of documents."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_toxicity(spark, sf_dir):
+    """Toxicity score of every whole text of documents."""
+    return toxicity.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media(spark, sf_dir):
     """Store every whole text of documents as an image and read it back."""
     return media.store_documents(table(spark, sf_dir, "documents"), with_media=False)
 
 
 def queries():
-    return {f.__name__: f for f in (op7_bpe, op9_media)}
+    return {f.__name__: f for f in (op1_html, op4_langid, op7_bpe, op8_toxicity, op9_media)}
 
 
 def oracle_sql():
