@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecscore.llm import bpe, html, langid, media, toxicity
+from vecscore.llm import bpe, html, langid, lines, media, packing, toxicity
 from vecscore.llm.common import table
 
 
@@ -16,6 +16,17 @@ def op4_langid(spark, sf_dir):
     return langid.held_out_query(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    """Pack all documents into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    """Documents without the boilerplate lines of their source."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op7_bpe(spark, sf_dir):
     """Encode and decode every whole text of documents."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
@@ -32,8 +43,8 @@ def op9_media(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html, op4_langid, op7_bpe, op8_toxicity, op9_media)}
+    return {f.__name__: f for f in (op1_html, op4_langid, op5_packing, op6_line_dedup, op7_bpe, op8_toxicity, op9_media)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_line_dedup": lines.ORACLE}
