@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecscore.llm import bpe, html, langid, lines, media, packing, toxicity, warc
+from vecscore.llm import ann, bpe, html, langid, lines, media, packing, toxicity, warc
 from vecscore.llm.common import table
 
 
@@ -11,6 +11,11 @@ def op1_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_ann(spark, sf_dir):
+    """The 20 nearest rows of embeddings for each row whose id is divisible by 20."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op3_warc(spark, sf_dir):
     """Write all pages as WARC records and read the archives back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -48,7 +53,7 @@ def op9_media(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html, op3_warc, op4_langid, op5_packing, op6_line_dedup, op7_bpe, op8_toxicity, op9_media)}
+    return {f.__name__: f for f in (op1_html, op2_ann, op3_warc, op4_langid, op5_packing, op6_line_dedup, op7_bpe, op8_toxicity, op9_media)}
 
 
 def oracle_sql():
