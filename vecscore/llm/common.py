@@ -98,3 +98,20 @@ def text_map(df: DataFrame, function: Callable[[list], dict], columns: list[str]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], list], chars: int = 1_000_000) -> DataFrame:
+    """The whole rows of df for whose text `keep` says true; it gets lists of texts of bounded length."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            start = size = 0
+            for i, text in enumerate(texts):
+                size += len(text) if text else 1
+                if size >= chars or i + 1 == len(texts):
+                    yield batch.slice(start, i + 1 - start).filter(pa.array(keep(texts[start : i + 1]), pa.bool_()))
+                    start, size = i + 1, 0
+
+    return df.mapInArrow(run, df.schema)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import bounded_sample, crc_mod, text_map
+from vecscore.llm.common import bounded_sample, crc_mod, keep_rows, text_map
 from vecscore.llm.words import Words, by_text
 
 # The first code point of each script's ranges.
@@ -190,3 +190,20 @@ def held_out_query(docs: DataFrame) -> DataFrame:
     model = fit(docs, learn=crc_mod("doc_id", 5) != 0)
     found = identify_documents(docs, model)
     return found.select("doc_id", (F.coalesce(crc_mod("doc_id", 5), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
+
+
+#: A document is rejected if no language has this share of its letters with any confidence.
+LEAST_SCORE = 0.2
+
+
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text has a language: not `und`, and a score of at least `least`. Without a model all rows."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list) -> list:
+        found = identify(texts, shared.value)
+        return [lang != "und" and score >= least for lang, score in zip(found["lang_pred"], found["score"], strict=True)]
+
+    return keep_rows(docs, text_col, keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecscore.llm import ann, bpe, html, langid, lines, media, packing, toxicity, warc
+from vecscore.llm import ann, bpe, html, langid, lines, media, ngram_join, packing, toxicity, warc
 from vecscore.llm.common import table
 
 
@@ -52,8 +52,13 @@ def op9_media(spark, sf_dir):
     return media.store_documents(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op10_ngram_join(spark, sf_dir):
+    """Components of documents linked by five-word shingles at Jaccard 0.8."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_html, op2_ann, op3_warc, op4_langid, op5_packing, op6_line_dedup, op7_bpe, op8_toxicity, op9_media)}
+    return {f.__name__: f for f in (op1_html, op2_ann, op3_warc, op4_langid, op5_packing, op6_line_dedup, op7_bpe, op8_toxicity, op9_media, op10_ngram_join)}
 
 
 def oracle_sql():
