@@ -13,8 +13,8 @@ from vecscore.schema import SENTINEL, Normalisation, Risk
 
 
 def clamp(x: Column) -> Column:
-    """x limited to [0, 1]; NaN, whose code is 0, becomes 0."""
-    return F.when(F.isnan(x), 0.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    """x limited to [0, 1]; NaN, whose code is 0, becomes 0; null stays null (least and greatest would skip it)."""
+    return F.when(F.isnan(x) | (x < 0), 0.0).when(x > 1, 1.0).otherwise(x)
 
 
 def ratio(a: Column, b: Column, divisor: float) -> Column:
