@@ -115,3 +115,22 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], list], chars:
                     start, size = i + 1, 0
 
     return df.mapInArrow(run, df.schema)
+
+
+#: A side of a join is broadcast if it measures less than this, else both sides are shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
+def join_measured(big: DataFrame, small: DataFrame, on: list[str], size, salt_by, salt: int = 32) -> DataFrame:
+    """big left join small (one row per key), without a shuffle of big if small measures few bytes.
+
+    size: a column that bounds the bytes of a row of small, which is staged and measured. Beyond
+    BROADCAST_BYTES, big is salted by the column salt_by and small repeated for each salt, so that
+    a frequent key is spread over tasks. The keys must not be null. Either way gives the same rows.
+    """
+    small = stage(small)
+    total = small.agg(F.sum(size + 64)).first()[0] or 0
+    if total <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, "left")
+    small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salt)).cast("int")).join(small, [*on, "__salt"], "left").drop("__salt")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import shared_dir, stage
+from vecscore.llm.common import join_measured, shared_dir, stage
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -33,7 +33,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_BYTES = 1000
 #: Records of one archive file at most.
 FILE_RECORDS = 20_000
-SALT = 32
 
 
 def _clean(c: Column) -> Column:
@@ -50,9 +49,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha1(F.encode("payload", "UTF-8")))
     groups = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter("n > 1 and keeper is not null").select("payload_digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
-    joined = salted.join(groups, ["payload_digest", "salt"], "left")
+    groups = groups.filter("n > 1 and keeper is not null").select("payload_digest", "keeper")
+    joined = join_measured(rows, groups, ["payload_digest"], F.lit(48), F.col("page_id"))
     same = F.col("keeper").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~same, F.col("keeper")).alias("keeper"))
 
