@@ -19,8 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from vecscore.llm.common import join_measured, shared_dir, stage
 
@@ -70,41 +72,70 @@ def write_warc(planned: DataFrame, path: str) -> None:
 
 
 _LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", re.IGNORECASE)
-_SEGMENT = "file string, block bigint, seq bigint, before bigint, size bigint, total bigint, head binary, payload_bytes bigint, payload_digest string, raw binary"
+_SEGMENT = "file string, block bigint, before bigint, size bigint, total bigint, head binary, payload_bytes bigint, payload_digest string"
+_RECORD = "file string, start bigint, head binary, payload_bytes bigint, payload_digest string, pieces array<bigint>"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block): what lies between version lines, in order within each block."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """What lies between version lines: one candidate each, unless its head has no length.
 
-    (file, block, seq) is its place; before: bytes of the block's earlier segments; size: its
-    bytes with the version line; total: bytes up to the successor it claims. A segment that is one
-    whole record comes with its payload's digest, any other with its raw bytes.
+    before: bytes of the block's earlier segments; size: its bytes with a version line; total:
+    bytes up to the successor it claims; payload_digest: if the segment is one whole record.
     """
-    lines = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    names = [x.split()[0] for x in _SEGMENT.split(", ")]
-    schema = pa.schema([pa.field(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, _SEGMENT.split(", "), strict=True)])
+    schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(_SEGMENT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seq, before = None, 0, 0
+        place, before = None, 0
         for batch in batches:
             out: list[tuple] = []
             for data, file, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if place != (file, block):
-                    place, seq, before = (file, block), 0, 0
+                    place, before = (file, block), 0
                 size = len(data) + len(MAGIC)
                 total = head = n = digest = None
                 cut = data.find(b"\r\n\r\n")
                 if cut >= 0 and (found := _LENGTH.search(data, 0, cut)):
                     head, n = data[:cut], int(found[1])
                     total = len(MAGIC) + cut + 4 + n + 4
-                whole = total == size and data.endswith(b"\r\n\r\n")
-                if whole:
+                if total == size and data.endswith(b"\r\n\r\n"):
                     digest = hashlib.sha1(memoryview(data)[cut + 4 : cut + 4 + n]).hexdigest()
-                out.append((file, block, seq, before, size, total, head, n, digest, None if whole else data))
-                seq, before = seq + 1, before + size
+                out.append((file, block, before, size, total, head, n, digest))
+                before += size
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return lines.mapInArrow(run, _SEGMENT)
+    return _lines(spark, path).mapInArrow(run, _SEGMENT)
+
+
+def raw_pieces(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(file, start, data) for wanted (file, start, piece): a record's segments put together again.
+
+    A second scan, only for records whose payload holds version lines. Offsets are counted anew
+    within the scan, so it need not be split like the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, before = None, 0
+        for batch in batches:
+            at = []
+            for data, *here in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if place != here:
+                    place, before = here, 0
+                at.append(before)
+                before += len(data) + len(MAGIC)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.int64()), batch.column(0)], names=["file", "block", "before", "raw"])
+
+    found = _lines(spark, path).mapInArrow(run, "file string, block bigint, before bigint, raw binary")
+    ends = found.groupBy("file", "block").agg(F.max(F.col("before") + F.octet_length("raw") + len(MAGIC)).alias("bytes"))
+    base = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = found.join(ends.select("file", "block", base.alias("base")), ["file", "block"]).select("file", (F.col("base") + F.col("before") - len(MAGIC)).alias("piece"), "raw")
+    groups = placed.join(wanted, ["file", "piece"]).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("piece", "raw"))).alias("all"))
+    data = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, F.lit(MAGIC.encode()), x["raw"]))
+    return groups.select("file", "start", data.alias("data"))
 
 
 def reachable(successor: np.ndarray) -> np.ndarray:
@@ -122,15 +153,15 @@ def reachable(successor: np.ndarray) -> np.ndarray:
 
 
 def chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """The records of one file: (head, payload_bytes, payload_digest). Raises ValueError if the chain breaks off before the end."""
-    rows = rows.sort_values(["block", "seq"], ignore_index=True)
+    """The records of one file; with the offsets of their segments if there are several. Raises ValueError if the chain breaks off before the end."""
+    rows = rows.sort_values(["block", "before"], ignore_index=True)
     stop = rows["size"].cumsum().to_numpy()
     start = stop - rows["size"].to_numpy() - len(MAGIC)
     # Segment 0 is what precedes the first version line; that of segment i begins at start[i].
-    start, size_of_file = start[1:], int(stop[-1]) - len(MAGIC) if len(stop) else 0
+    start, size_of_file = start[1:], int(stop[-1]) - len(MAGIC)
     rows = rows.iloc[1:].reset_index(drop=True)
     if not len(rows):
-        return pd.DataFrame({"head": [], "payload_bytes": [], "payload_digest": []})
+        return pd.DataFrame({x.split()[0]: [] for x in _RECORD.split(", ")})
     total = rows["total"].fillna(-1).astype("int64").to_numpy()
     to = np.where(total > 0, start + total, -1)
     at = np.searchsorted(start, to)
@@ -138,15 +169,11 @@ def chain(rows: pd.DataFrame) -> pd.DataFrame:
     kept = np.flatnonzero(reachable(successor))
     if start[0] != 0 or to[kept[-1]] != size_of_file:
         raise ValueError(f"the archive's records break off at byte {start[kept[-1]]}")
-    found = rows.iloc[kept][["head", "payload_bytes", "payload_digest"]].reset_index(drop=True)
+    found = rows.iloc[kept][["file", "head", "payload_bytes", "payload_digest"]].reset_index(drop=True)
+    found["start"] = start[kept]
     ends = np.r_[kept[1:], len(rows)]
-    for i, (lo, hi) in enumerate(zip(kept, ends, strict=True)):
-        if hi - lo > 1 or found.at[i, "payload_digest"] is None:  # version lines within the payload
-            pieces = [bytes(x) if x is not None else None for x in rows["raw"].iloc[lo:hi]]
-            data = MAGIC.encode().join(pieces)
-            body = data[data.find(b"\r\n\r\n") + 4 :][: int(found.at[i, "payload_bytes"])]
-            found.at[i, "payload_digest"] = hashlib.sha1(body).hexdigest()
-    return found
+    found["pieces"] = [start[lo:hi].tolist() if hi - lo > 1 else [] for lo, hi in zip(kept, ends, strict=True)]
+    return found[[x.split()[0] for x in _RECORD.split(", ")]]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -156,7 +183,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     rows.
     """
     staged = stage(segments(spark, path))
-    records = staged.groupBy("file").applyInPandas(lambda rows: chain(rows), "head binary, payload_bytes bigint, payload_digest string")
+    records = stage(staged.groupBy("file").applyInPandas(chain, _RECORD))
+    several = records.filter(F.size("pieces") > 0)
+    if several.limit(1).count():
+        data = raw_pieces(spark, path, several.select("file", "start", F.explode("pieces").alias("piece")))
+        body = F.substring("data", F.octet_length("head") + len(MAGIC) + 5, F.col("payload_bytes").cast("int"))
+        mended = several.drop("payload_digest", "pieces").join(data, ["file", "start"]).select("head", "payload_bytes", F.sha1(body).alias("payload_digest"))
+        records = records.filter(F.size("pieces") == 0).select(mended.columns).unionByName(mended)
     head = F.col("head").cast("string")
     field = lambda name: F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1)
     number = lambda name: F.regexp_extract(field(name), r"<urn:x-page:(-?\d+)>", 1)
