@@ -3,12 +3,13 @@
 1. Every page is parsed once; each container (an element holding text blocks) that is not of an
    excluded kind is scored by the text it holds outside links, and named by its generalised path:
    tags and classes from the root, digits as #.
-2. Spark sums the scores by host and path. A path wins if it has the most votes of the host.
+2. A page votes for its best path, and a little for close ones. Spark sums the votes by host and
+   path; the path with the most wins.
 3. Every page is parsed again: blocks within its host's winning path are its main text. A page
    without that path falls back to its own best container.
 
-Votes are pre-aggregated before the shuffle and joined back under a salt, so a host with a third
-of all pages is spread over many tasks.
+Votes are pre-aggregated before the shuffle. The winners come back by a broadcast if they measure
+few bytes, else under a salt, so that a host with a third of all pages is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecscore.llm.common import join_measured
+
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -195,7 +198,7 @@ def host_of(url):
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes, pages): summed scores of all pages."""
+    """(host, path, votes, pages): a page gives its best path one vote, and others the fourth power of their share of its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +208,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
                 best = max(votes.values(), default=0)
                 for path, x in votes.items():
                     s = sums.setdefault((host, path), [0.0, 0])
-                    s[0] += round(x / best, 6)
+                    s[0] += round((x / best) ** 4, 6)
                     s[1] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([round(v[0] * 1e6) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], names=["host", "path", "votes", "pages"])
 
@@ -213,7 +216,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salt: int = 32) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, host_path) for every page.
 
     Null or empty html gives the empty text; pages without a host vote together; ties between
@@ -222,9 +225,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"))
     winners = host_votes(rows).groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", F.col("best.path").alias("host_path"))
-    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salt)).cast("int"))
-    joined = salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "host_path")
+    joined = join_measured(rows, winners, ["host"], F.octet_length("host") + F.octet_length("host_path"), F.col("html")).select("page_id", "url", "html", "host_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
