@@ -69,3 +69,16 @@ def test_stream_without_index(spark, tmp_path):
 
 def test_every_oracle_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_sweep_and_gold_cache(spark, tmp_path):
+    from vecscore.operators import evaluate
+
+    everyone = spark.range(10).withColumnRenamed("id", "qid")
+    found = lambda n: everyone.select("qid", (F.col("qid") < n).alias("is_fraud")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    path = f"file://{tmp_path}/gold"
+    gold = evaluate.gold(everyone, found(4), spark, path)
+    assert evaluate.gold(everyone, None, spark, path).count() == gold.count() == 10
+    rows = evaluate.sweep(everyone, {"same": found(4), "less": found(2), "more": found(5)}, gold)
+    evaluate.write_report(rows, f"file://{tmp_path}/report")
+    assert {r["variant"]: (r["fp"], r["fn"], r["e"]) for r in rows.collect()} == {"same": (0, 0, 0), "less": (0, 2, 6), "more": (1, 0, 1)}

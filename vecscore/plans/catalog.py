@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecscore.functions.distance import squared
 from vecscore.functions.quantize import signature_bound, signature_of_codes
-from vecscore.operators import index, knn, metrics, sampling
+from vecscore.operators import evaluate, index, knn, metrics, sampling
 from vecscore.operators.vote import vote
 from vecscore.plans import adapters
 from vecscore.sources import json, store, synth
@@ -142,6 +142,15 @@ def q_confusion_metrics(spark, sf_dir):
     return found.select("n", "fp", "fn", "flips", "e", "fail_rate", "eps", F.round("det_score", 6).alias("det_score"))
 
 
+def q_probe_sweep(spark, sf_dir):
+    """Errors of flat probing by number of probes, all against the exact decisions."""
+    placed, cells, _ = _fixed(spark, sf_dir)
+    queries = adapters.as_queries(placed)
+    gold = evaluate.gold(queries, knn.brute(queries, placed, exclude_self=True), spark, store.new_path(spark))
+    variants = {str(p): knn.nprobe(queries, placed, cells, None, p, exclude_self=True) for p in (1, 2, 4)}
+    return evaluate.sweep(queries, variants, gold).select("variant", "n", "fp", "fn", "flips", "e")
+
+
 def q_percentiles(spark, sf_dir):
     points = adapters.embedding_points(spark, sf_dir)
     first = knn.brute(adapters.as_queries(points), points, exclude_self=True).filter("rank = 1")

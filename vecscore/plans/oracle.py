@@ -71,6 +71,7 @@ def sql() -> dict[str, str]:
         "q_best_first_work": f"{WITH_CELLS}, x AS (SELECT qid, CASE WHEN count(*) >= 5 THEN max(d2) END AS worst FROM k GROUP BY qid), s AS (SELECT lb.qid, lb.cell, n FROM lb JOIN cells USING (cell) LEFT JOIN x ON x.qid = lb.qid WHERE worst IS NULL OR bound <= worst) SELECT qid, count(*) AS cells, sum(n)::BIGINT AS points, (16 + (10 * sum(n)::BIGINT * 14) // 65)::BIGINT AS cost FROM s GROUP BY qid",
         "q_box_survivors": f"{WITH_CELLS} SELECT lb.cell, count(*) AS queries, max(bound) AS largest_bound FROM lb JOIN seed ON seed.qid = lb.qid WHERE lb.cell <> seed.cell AND (worst IS NULL OR bound <= worst) GROUP BY lb.cell",
         "q_confusion_metrics": f"{WITH_CELLS}, {one}, {probe}, g AS (SELECT qid, n_fraud < 3 AS g FROM {gold}), f AS (SELECT qid, n_fraud < 3 AS p FROM {near}), m AS (SELECT count(*) AS n, count(*) FILTER (g AND NOT p) AS fp, count(*) FILTER (p AND NOT g) AS fn, count(*) FILTER (p <> g) AS flips FROM g JOIN f USING (qid)), s AS (SELECT *, fp + 3 * fn AS e, (fp + fn) / n AS fail_rate, (fp + 3 * fn) / n AS eps FROM m) SELECT n, fp, fn, flips, e, fail_rate, eps, round(CASE WHEN fail_rate > 0.15 THEN -3000.0::DOUBLE ELSE 1000 * log10(1 / greatest(eps, 0.001::DOUBLE)) - 300 * log10(1 + e) END, 6) AS det_score FROM s",
+        "q_probe_sweep": f"{WITH_CELLS}, pr AS (SELECT vec_id AS qid, cell, row_number() OVER (PARTITION BY vec_id ORDER BY dc, cell) AS r FROM qc JOIN cells USING (cell)), v AS (SELECT unnest([1, 2, 4]) AS probes), t AS (SELECT probes, pc.qid, is_fraud FROM v JOIN pr ON r <= probes JOIN pc ON pc.qid = pr.qid AND pc.cell = pr.cell QUALIFY row_number() OVER (PARTITION BY probes, pc.qid ORDER BY d2, ref_id) <= 5), f2 AS (SELECT v.probes, e.vec_id AS qid, coalesce((SELECT sum(is_fraud::INT) FROM t WHERE t.probes = v.probes AND t.qid = e.vec_id), 0) < 3 AS p FROM v CROSS JOIN e), g AS (SELECT qid, n_fraud < 3 AS g FROM {gold}) SELECT probes::VARCHAR AS variant, count(*) AS n, count(*) FILTER (g AND NOT p) AS fp, count(*) FILTER (p AND NOT g) AS fn, count(*) FILTER (p <> g) AS flips, count(*) FILTER (g AND NOT p) + 3 * count(*) FILTER (p AND NOT g) AS e FROM f2 JOIN g USING (qid) GROUP BY probes",
         "q_percentiles": f"{WITH}, s AS (SELECT list_sort(list(d2)) AS x, count(*) AS n, sum(d2)::BIGINT AS t FROM k WHERE rank = 1), r AS (SELECT n, t // n AS mean, x[n] AS max, x[least(n - 1, n * 99 // 100) + 1] AS p99, x[least(n - 1, floor(0.5 * n)::BIGINT) + 1] AS p50 FROM s) SELECT *, round(CASE WHEN p99 / 1e7 > 2000 THEN -3000.0::DOUBLE ELSE 1000 * log10(1000 / greatest(p99 / 1e7, 1.0::DOUBLE)) END, 6) AS score FROM r",
         "q_quant_floor": f"{WITH}, fp AS (SELECT a.vec_id AS qid, b.vec_id AS ref_id, b.is_fraud, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id), g AS (SELECT qid, n_fraud AS a FROM {gold}), f AS (SELECT qid, n_fraud AS b FROM {VOTE.format(k='(' + TOP.format(p='fp') + ')')}) SELECT count(*) AS n, count(*) FILTER ((a < 3) <> (b < 3)) AS flips, count(*) FILTER (a <> b) AS count_diffs FROM g JOIN f USING (qid)",
         "q_features_vector": f"WITH {EVENTS} SELECT event_id, array_to_string(c, ',') AS codes FROM ev",
