@@ -22,51 +22,75 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from vecscore.llm.common import stage, text_map
 
 SIZE = 2048
 END = 1
 PARTS = 64
+#: Bound of what one Python worker remembers.
+MOST_PIECES = 1 << 19
 
 
 @lru_cache(1)
 def _tokenizer(path: str | None):
     import public_tokenizers
-    from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
 _BLANK = re.compile(r"[^ \t\n\r]+").findall
+# The tokenizer's own pieces, for the texts that `_OTHER` does not find anything in.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+").findall
+_OTHER = re.compile("[^\\0-\u017f]|[\u0130\x1c-\x1f\x85\xa0]|<\\|").search
 
 
-class _Chunks(dict):
-    """Packed ids by text between blanks: no token of this vocabulary spans white space."""
+class _Known(dict):
+    """Packed ids by piece of text.
+
+    Texts of plain Latin letters are lower-cased and cut as the tokenizer would; any other text is
+    cut at blanks alone, which no token spans.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def fill(self, chunks: list[str]) -> None:
-        if len(self) > 1 << 19:
+        # For words of letters: the same model after splitting at blanks alone; a word's last token says so.
+        self.lean = Tokenizer(tokenizer.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(tokenizer.model.end_of_word_suffix)]] = True
+
+    def cut(self, text: str) -> list[str]:
+        return _BLANK(text) if _OTHER(text) else _PIECES(text.lower())
+
+    def fill(self, pieces: set[str]) -> None:
+        if len(self) > MOST_PIECES:
             self.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+        new = [t for t in pieces if t not in self]
+        words = [t for t in new if t.isalpha() and t.islower() and not _OTHER(t)]
+        if words:
+            ids = np.array(self.lean.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            packed, stop = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            self.update(zip(words, [packed[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
+        rest = [t for t in new if t not in self]
+        for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[t] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(1)
-def _chunks(path: str | None) -> _Chunks:
-    return _Chunks(_tokenizer(path))
+def _known(path: str | None) -> _Known:
+    return _Known(_tokenizer(path))
 
 
 def token_bytes(texts: list[str | None], path: str | None = None, end: int = END) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, with the end id."""
-    known, closing = _chunks(path), np.array([end], "<u4").tobytes()
-    split = [_BLANK(t or "") for t in texts]
-    known.fill([c for chunks in split for c in chunks])
-    return [b"".join([known[c] for c in chunks]) + closing for chunks in split]
+    known, closing = _known(path), np.array([end], "<u4").tobytes()
+    cut = [known.cut(t or "") for t in texts]
+    known.fill(set().union(*cut))
+    return [b"".join(map(known.__getitem__, pieces)) + closing for pieces in cut]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
