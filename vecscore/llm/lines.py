@@ -2,8 +2,8 @@
 
 Within each host, a line's frequency is the share of the host's pages that contain it. Lines above
 a ratio are boilerplate and go. Counting is partial before its shuffle and over hashes of lines;
-what comes back per host is a short list (at most lines per page / ratio of them, on average),
-joined under a salt so that a large host is spread out.
+what comes back per host is a short list (at most lines per page / ratio of them, on average): by
+a broadcast if all lists measure few bytes, else under a salt so that a large host is spread out.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecscore.llm.common import join_measured
+
 #: Boilerplate: on more than this share of the host's pages, and on at least so many of them.
 RATIO, LEAST_PAGES = 0.05, 4
-SALT = 32
 
 
 def _lines(text: Column) -> Column:
@@ -51,11 +52,11 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     base = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")])
     host, text = F.col(f"`{host_col}`"), F.col(f"`{text_col}`")
     found = boilerplate(base, host, text, ratio, least_pages)
-    found = found.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("-")).alias("__host"), F.col("lines").alias("__lines"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    salted = base.withColumn("__host", F.coalesce(F.concat(F.lit("h"), host), F.lit("-"))).withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int"))
+    found = found.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("-")).alias("__host"), F.col("lines").alias("__lines"))
+    keyed = base.withColumn("__host", F.coalesce(F.concat(F.lit("h"), host), F.lit("-")))
     all_lines = _lines(text)
     kept = F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__lines"), _key(x)))
-    joined = salted.join(found, ["__host", "__salt"], "left").withColumn("__kept", F.when(F.col("__lines").isNull(), all_lines).otherwise(kept))
+    joined = join_measured(keyed, found, ["__host"], F.octet_length("__host") + 8 * F.size("__lines"), text).withColumn("__kept", F.when(F.col("__lines").isNull(), all_lines).otherwise(kept))
     return joined.select(
         *[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
         F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("bigint").alias("n_lines"),
