@@ -161,10 +161,10 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, _Node]
 
 
 def score(blocks: list, containers: list) -> dict[str, float]:
-    """Votes by path: square roots of the text a container holds itself outside links, with half of its children's.
+    """Scores by path: the text that a container holds itself, less what its links hold, and a part of its children's scores.
 
-    Text counts half at each level up, so the innermost container that holds most of an article
-    beats the page's body around it; links count against it.
+    Only 0.9 of a plain container's score goes up to the one around it, and half of an article's or
+    main's, so the innermost container that holds most of an article beats the page's body.
     """
     own = [0.0] * len(containers)
     for words, linked, key in blocks:
