@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,6 +73,14 @@ def bounded_sample(df: DataFrame, key: str, rows: int, columns: list[str]) -> li
     return df.filter(h <= low).select(*columns).limit(rows).collect()
 
 
+def release() -> None:
+    """Give the driver's freed memory back to the system after a fit, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def crc_mod(key: str, n: int):
     """crc32 of the key as text, modulo n, as a column (null key: null)."""
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % n

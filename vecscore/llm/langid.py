@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import bounded_sample, crc_mod, keep_rows, text_map
+from vecscore.llm.common import bounded_sample, crc_mod, keep_rows, release, text_map
 from vecscore.llm.words import Words, by_text
 
 # The first code point of each script's ranges.
@@ -66,8 +66,8 @@ def train(texts: list[str], langs: list[str], switch: float = 10.0, rare: float
         by_lang.setdefault(lang, []).append(text or "")
     for k, name in enumerate(names):
         group = by_lang[name]
-        for at in range(0, len(group), 500):
-            w = Words(group[at : at + 500])
+        for at in range(0, len(group), 50):
+            w = Words(group[at : at + 50])
             counts[k] += np.bincount(trigrams(w), minlength=BUCKETS)
             seen[k] += np.bincount(scripts(w), minlength=len(NAMES))
     odds = np.log(counts / np.maximum(counts.sum(1, keepdims=True), 1) + rare)
@@ -78,7 +78,10 @@ def fit(docs: DataFrame, rows: int = 6000, learn=None, id_col: str = "doc_id", t
     """Train on at most `rows` labelled rows, chosen by key hash among those `learn` admits."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sample = bounded_sample(labelled.filter(learn) if learn is not None else labelled, id_col, rows, [text_col, lang_col])
-    return train([r[0] for r in sample], [r[1] for r in sample])
+    model = train([r[0] for r in sample], [r[1] for r in sample])
+    del sample
+    release()
+    return model
 
 
 def word_scores(w: Words, m: Model) -> np.ndarray:

@@ -20,7 +20,7 @@ def letters() -> np.ndarray:
     return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _INVERSE))
