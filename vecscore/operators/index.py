@@ -93,35 +93,88 @@ def kmeans(points: DataFrame, k: int, iterations: int = 20, seed: int = 1) -> np
     return centroids
 
 
-def split_large(points: DataFrame, centroids: np.ndarray, cap: int, iterations: int = 10, sample: int = 4_000) -> np.ndarray:
+def _own_cell(rows: pa.RecordBatch, first: np.ndarray, subs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(points, nearest sub-centroid) of a batch (cell, codes), cell by cell; cell i's own are subs[first[i] : first[i + 1]]."""
+    cell, p = rows.column(0).to_numpy(), matrix(rows.column(1))
+    order = np.argsort(cell, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        a, b = first[cell[own[0]]], first[cell[own[0]] + 1]
+        yield p[own], a + nearest(p[own], subs[a:b])[0]
+
+
+def _sub_sums(rows: DataFrame, first: np.ndarray, subs: np.ndarray) -> pa.Table:
+    """(sub, n, sums): cell_sums() of (cell, codes) where each point meets only the sub-centroids of its cell."""
+    shared = rows.sparkSession.sparkContext.broadcast((first, subs))
+    dim = subs.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, subs = shared.value
+        n, sums = np.zeros(len(subs), np.int64), np.zeros((len(subs), dim))
+        for batch in batches:
+            if len(batch):
+                for p, at in _own_cell(batch, first, subs):
+                    some, back = np.unique(at, return_inverse=True)
+                    n[some] += np.bincount(back)
+                    for i in range(dim):
+                        sums[some, i] += np.bincount(back, p[:, i])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(list(sums[some].astype(np.int64)), pa.list_(pa.int64()))], names=["sub", "n", "sums"])
+
+    parts = rows.mapInArrow(run, "sub bigint, n bigint, sums array<bigint>")
+    return parts.groupBy("sub").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("sums")).toArrow()
+
+
+def _seeds_of_cells(rows: DataFrame, wanted: dict[int, int], seed: int) -> dict[int, np.ndarray]:
+    """For each cell, `wanted` of all its distinct points: those of the smallest seeded hashes; all if there are fewer.
+
+    Only points under a hash that leaves a few more than wanted reach the driver, so no task sorts a cell.
+    """
+    spark = rows.sparkSession
+    distinct = staged(rows.select("cell", "codes", (F.xxhash64(F.lit(seed), "codes") / F.lit(2.0**64) + 0.5).alias("u")).distinct())
+    sizes = {r["cell"]: r["n"] for r in distinct.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {c: min(k, sizes[c]) for c, k in wanted.items()}
+    slack, short, found = 6.0, dict(wanted), {}
+    while short:
+        # With k expected, k + 6 * sqrt(k) + 40 are hardly ever fewer than k; if they are, it is tried again with more.
+        below = spark.createDataFrame([(c, float(min(2.0, (k + slack * k**0.5 + 40) / sizes[c]))) for c, k in short.items()], "cell bigint, upto double")
+        got = distinct.join(F.broadcast(below), "cell").filter(F.col("u") < F.col("upto")).select("cell", "u", "codes").toArrow()
+        cell, u, p = got["cell"].to_numpy(), got["u"].to_numpy(), matrix(got["codes"]).astype(np.float64)
+        order = np.lexsort((*p.T[::-1], u, cell))
+        for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            if len(own) >= wanted[c := int(cell[own[0]])]:
+                found[c] = p[own[: wanted[c]]]
+        short, slack = {c: k for c, k in wanted.items() if c not in found}, slack * 4
+    return found
+
+
+def split_large(points: DataFrame, centroids: np.ndarray, cap: int, iterations: int = 10, seed: int = 1) -> np.ndarray:
     """Centroids with those of cells above `cap` points replaced by ceil(n / (cap / 2)) of their own.
 
-    Sub-centroids come from at most `sample` points of such a cell, those of the smallest hashes;
-    one level only.
+    Lloyd's rounds over all points of all such cells at once, one pass per round, from distinct
+    points of the whole cell; a cell with fewer distinct points gets one centroid for each. One
+    level only.
     """
     placed = assign(points, centroids)
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).collect()}
     if not sizes:
         return centroids
-    w = Window.partitionBy("cell").orderBy(F.xxhash64("ref_id"), "ref_id")
-    few = placed.filter(F.col("cell").isin(list(sizes))).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample)
     wanted = {c: -(-n // max(1, cap // 2)) for c, n in sizes.items()}
-
-    def split(rows: pa.Table) -> pa.Table:
-        p = matrix(rows["codes"]).astype(np.float64)
-        distinct = np.unique(p, axis=0)
-        k = min(wanted[rows["cell"][0].as_py()], len(distinct))
-        c = distinct[np.random.default_rng(1).permutation(len(distinct))[:k]]
-        for _ in range(iterations):
-            at, _ = nearest(p, c)
-            n = np.bincount(at, minlength=k)
-            sums = np.stack([np.bincount(at, p[:, i], k) for i in range(p.shape[1])], 1)
-            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        return pa.table([pa.array([rows["cell"][0].as_py()] * k, pa.int64()), pa.array(list(c), pa.list_(pa.float64()))], names=["cell", "centroid"])
-
-    parts = few.select("cell", "codes").groupBy("cell").applyInArrow(split, "cell bigint, centroid array<double>").collect()
+    rows = staged(placed.filter(F.col("cell").isin(list(sizes))).select("cell", "codes"))
+    starts = _seeds_of_cells(rows, wanted, seed)
+    first = np.r_[0, np.cumsum([len(starts.get(i, ())) for i in range(len(centroids))])]
+    total = len(centroids) - len(sizes) + int(first[-1])
+    if total > MAX_CELLS:
+        raise ValueError(f"{total} cells after splitting: more than {MAX_CELLS} are not broadcast; build fewer, larger ones")
+    subs = np.concatenate([starts[c] for c in sorted(starts)])
+    for _ in range(iterations):
+        step = _sub_sums(rows, first, subs)
+        new, at = subs.copy(), step["sub"].to_numpy()
+        new[at] = matrix(step["sums"]) / step["n"].to_numpy()[:, None]
+        if np.array_equal(new, subs):
+            break
+        subs = new
     kept = [c for i, c in enumerate(centroids) if i not in sizes]
-    return np.array(kept + [r["centroid"] for r in parts])
+    return np.array([*kept, *subs])
 
 
 def districts_of(centroids: np.ndarray, k: int, iterations: int = 25) -> np.ndarray:
