@@ -93,6 +93,12 @@ def event_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows.filter(F.col("us") >= cut).select(F.col("event_id").alias("qid"), "codes"), rows.filter(F.col("us") < cut).select(F.col("event_id").alias("ref_id"), "is_fraud", "codes")
 
 
+def event_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, points): every event is scored against all others; the search has to exclude the event itself."""
+    rows = event_features(spark, sf_dir)
+    return rows.select(F.col("event_id").alias("qid"), "codes"), rows.select(F.col("event_id").alias("ref_id"), "is_fraud", "codes")
+
+
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, value): events as JSON text of a payload; those of type error are cut short, so that they can't be read."""
     b = event_base(spark, sf_dir)

@@ -202,6 +202,18 @@ def q_event_votes(spark, sf_dir):
     return vote(knn.by_signature(queries, points), queries).select("qid", "n_fraud", "fraud_score", "approved")
 
 
+def q_signature_prune_knn_all(spark, sf_dir):
+    """q_signature_prune_knn without the date of its SQL: all events searched among all others."""
+    queries, points = adapters.event_all(spark, sf_dir)
+    return _rows(knn.by_signature(queries, points, exclude_self=True))
+
+
+def q_event_votes_all(spark, sf_dir):
+    """q_event_votes without the date of its SQL: votes of all other events on every event."""
+    queries, points = adapters.event_all(spark, sf_dir)
+    return vote(knn.by_signature(queries, points, exclude_self=True), queries).select("qid", "n_fraud", "fraud_score", "approved")
+
+
 def q_widest_dimension(spark, sf_dir):
     points = adapters.embedding_points(spark, sf_dir)
     return index.widest_dimension(points.withColumn("bucket", F.col("is_fraud").cast("int")), "bucket")
@@ -260,9 +272,9 @@ def q_payload_round_trip(spark, sf_dir):
 
 
 def q_fallback_scoring(spark, sf_dir):
-    """Payload text scored in a batch against events; unreadable rows are approved with 0."""
-    _, points = adapters.event_split(spark, sf_dir)
-    found = score_text(adapters.event_payloads(spark, sf_dir), lambda q: knn.by_signature(q, points))
+    """Payload text scored in a batch against all other events; unreadable rows are approved with 0."""
+    _, points = adapters.event_all(spark, sf_dir)
+    found = score_text(adapters.event_payloads(spark, sf_dir), lambda q: knn.by_signature(q, points, exclude_self=True))
     return found.groupBy("n_fraud", "approved").agg(F.count(F.lit(1)).alias("n"))
 
 
