@@ -29,6 +29,25 @@ def pairwise(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.rint((q**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * (q @ p.T))
 
 
+def pairwise_doubles(q: np.ndarray, p: np.ndarray, k: int, same: np.ndarray | None) -> np.ndarray:
+    """Sums of squared differences of doubles, added in order; infinite where a point is not among the k nearest, or is the same.
+
+    A matrix product, whose rounding is far below the margin, tells which pairs have to be summed.
+    """
+    qq, pp = (q**2).sum(1), (p**2).sum(1)
+    near = qq[:, None] + pp[None] - 2 * (q @ p.T)
+    if same is not None:
+        near[same] = np.inf
+    worst = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(q), 1), np.inf)
+    rows, cols = np.nonzero((near <= worst + 1e-9 * (1 + qq.max() + pp.max())) & np.isfinite(near))
+    d = np.zeros(len(rows))
+    for i in range(q.shape[1]):
+        d += (q[rows, i] - p[cols, i]) ** 2
+    near[:] = np.inf
+    near[rows, cols] = d
+    return near
+
+
 def box_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """box_bound() of all rows of q to all boxes."""
     out = np.zeros((len(q), len(lo)))

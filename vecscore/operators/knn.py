@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecscore.functions.distance import box_bounds, least, pairwise, squared
+from vecscore.functions.distance import box_bounds, least, pairwise, pairwise_doubles, squared
 from vecscore.functions.quantize import signature_bound, signature_of_codes
 from vecscore.schema import NEIGHBOURS
 
@@ -31,21 +31,22 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _search(k: int, exclude_self: bool, tile: int = 512) -> Callable:
+def _search(k: int, exclude_self: bool, tile: int = 512, doubles: bool = False) -> Callable:
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
         names = ["qid", "ref_id", "is_fraud", "d2"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.float64() if doubles else pa.int64()]
         if not len(queries) or not len(points):
             return pa.table([pa.array([], t) for t in kinds], names=names)
         q, p = matrix(queries["codes"]), matrix(points["codes"])
         qid, ids, fraud = queries["qid"].to_numpy(), points["ref_id"].to_numpy(), points["is_fraud"].to_numpy(zero_copy_only=False)
         parts = []
         for a in range(0, len(q), tile):
-            d = pairwise(q[a : a + tile], p)
+            same = qid[a : a + tile][:, None] == ids[None] if exclude_self else None
+            d = pairwise_doubles(q[a : a + tile], p, k, same) if doubles else pairwise(q[a : a + tile], p)
             if exclude_self:
-                d[qid[a : a + tile][:, None] == ids[None]] = np.inf
+                d[same] = np.inf
             rows, cols = least(d, ids, k)
-            parts.append((qid[a + rows], ids[cols], fraud[cols], d[rows, cols].astype(np.int64)))
+            parts.append((qid[a + rows], ids[cols], fraud[cols], d[rows, cols] if doubles else d[rows, cols].astype(np.int64)))
         return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -66,14 +67,17 @@ def _each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def brute(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, ref_id, is_fraud, d2, rank) by comparing the query set with all points, block by block."""
+def brute(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, block: int = BLOCK, query_block: int = QUERY_BLOCK, doubles: bool = False) -> DataFrame:
+    """(qid, ref_id, is_fraud, d2, rank) by comparing the query set with all points, block by block.
+
+    doubles: codes are doubles, and so is d2.
+    """
     q_block, n_q = _blocks(queries, "qid", query_block)
     p_block, n_p = _blocks(points, "ref_id", block)
     left = queries.select("qid", "codes", q_block.alias("qb")).withColumn("pb", _each(n_p))
     # Renamed, as both sides may come from one frame.
     right = points.select("ref_id", "is_fraud", "codes", p_block.alias("pb")).withColumn("qb", _each(n_q)).toDF("ref_id", "is_fraud", "codes", "pb", "qb")
-    return ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(_search(k, exclude_self), FOUND), k)
+    return ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(_search(k, exclude_self, doubles=doubles), FOUND.replace("d2 bigint", "d2 double") if doubles else FOUND), k)
 
 
 def within_cells(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:

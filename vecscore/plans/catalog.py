@@ -160,12 +160,11 @@ def q_percentiles(spark, sf_dir):
 
 
 def q_quant_floor(spark, sf_dir):
-    """Decisions by float and by integer distances; doubles are compared in numpy like codes."""
+    """Decisions by distances of doubles and by integer distances."""
     points = adapters.embedding_points(spark, sf_dir)
     exact = vote(knn.brute(adapters.as_queries(points), points, exclude_self=True), adapters.as_queries(points))
-    # Components of 2**-30 resolution: products of differences stay exact enough to order doubles.
-    fine = points.withColumn("codes", F.transform("vector", lambda x: F.round(x * 16_000_000).cast("int")))
-    real = vote(knn.brute(adapters.as_queries(fine), fine, exclude_self=True), adapters.as_queries(fine))
+    fine = points.withColumn("codes", F.col("vector"))
+    real = vote(knn.brute(adapters.as_queries(fine), fine, exclude_self=True, doubles=True), adapters.as_queries(fine))
     pairs = exact.select("qid", F.col("n_fraud").alias("a"), F.col("approved").alias("p")).join(real.select("qid", F.col("n_fraud").alias("b"), F.col("approved").alias("g")), "qid")
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") != F.col("g")).alias("flips"), F.count_if(F.col("a") != F.col("b")).alias("count_diffs"))
 
