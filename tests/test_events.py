@@ -39,3 +39,18 @@ def test_fallback_scoring_meets_all_other_events(spark, tmp_path):
     rows.withColumn("ts", F.expr("timestamp_ntz'2024-02-10 00:00:00' + make_dt_interval(0, 0, cast(event_id % 997 as int), 0)")).write.parquet(f"file://{tmp_path}/events.parquet")
     got = {r["n_fraud"]: r["n"] for r in catalog.q_fallback_scoring(spark, f"file://{tmp_path}").collect()}
     assert sum(got.values()) == rows.count() and max(got) > 0
+
+
+def test_events_without_user_or_merchant_keep_their_row(spark, tmp_path):
+    import duckdb
+
+    from vecscore.plans import oracle
+
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").filter("event_id % 5 = 0")
+    rows = rows.withColumn("user_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id"))).withColumn("props", F.when(F.col("event_id") % 4 != 0, F.col("props")).otherwise("{}"))
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(oracle.sql()["q_features_vector"]).fetchall())
+    got = sorted(tuple(r) for r in catalog.q_features_vector(spark, f"file://{tmp_path}").collect())
+    assert len(got) == rows.count() and got == want

@@ -55,9 +55,10 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     b = event_base(spark, sf_dir)
     day = Window.partitionBy("user_id").orderBy("us").rangeBetween(-DAY_US, 0)
-    users = b.groupBy("user_id").agg(F.sum("ac").alias("user_sum"), F.count(F.lit(1)).alias("user_n"))
-    merchants = b.groupBy("k").agg(F.sum("ac").alias("k_sum"), F.count(F.lit(1)).alias("k_n"))
-    w = b.withColumn("n24", F.count(F.lit(1)).over(day)).join(users, "user_id").join(merchants, "k")
+    users = b.groupBy(F.col("user_id").alias("user")).agg(F.sum("ac").alias("user_sum"), F.count(F.lit(1)).alias("user_n"))
+    merchants = b.groupBy(F.col("k").alias("merchant")).agg(F.sum("ac").alias("k_sum"), F.count(F.lit(1)).alias("k_n"))
+    # Events without user or merchant are a group too, as in windows.
+    w = b.withColumn("n24", F.count(F.lit(1)).over(day)).join(users, F.col("user_id").eqNullSafe(F.col("user"))).join(merchants, F.col("k").eqNullSafe(F.col("merchant")))
     real = lambda x: x.cast("double")
     mix = lambda m: real((F.col("event_id") * m) % 1000) / 1000
     kind = F.col("event_type")
