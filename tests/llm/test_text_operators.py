@@ -232,6 +232,15 @@ def test_line_dedup_both_joins_agree(spark, monkeypatch):
     assert sorted(map(str, lines.dedup_lines(df).collect())) == a
 
 
+def test_html_path_that_holds_nothing():
+    story = " ".join(f"This is sentence {i} of the article, long enough to count." for i in range(20))
+    path = html.parse("<body><div class=main><p>x</p></div></body>")[1][-1][1].path
+    page = "<body><div class=main>{}</div><div class=story><p>{}</p></div></body>"
+    assert html.main_text(page.format("", story), path) == story
+    assert html.main_text(page.format("<a href='/x'>more stories</a>", story), path) == story
+    assert html.main_text(page.format("<p>The host's path.</p>", story), path) == "The host's path."
+
+
 # --- packing
 
 

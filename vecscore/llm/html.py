@@ -179,16 +179,28 @@ def score(blocks: list, containers: list) -> dict[str, float]:
     return votes
 
 
-def main_text(page: str, path: str | None) -> str:
-    """Blocks under the containers of the given path, else under the page's own best one, joined by newlines."""
-    blocks, containers = parse(page)
-    paths = {node.path for _, node in containers}
-    if path is None or path not in paths:
-        votes = score(blocks, containers)
-        path = max(votes, key=lambda x: (votes[x], x)) if votes else ""
+def _inside(containers: list, path: str) -> list[bool]:
+    """For each container whether it is, or lies in, one of the given path."""
     inside = [False] * len(containers)
     for i, (parent, node) in enumerate(containers):
         inside[i] = node.path == path or (parent >= 0 and inside[parent])
+    return inside
+
+
+def main_text(page: str, path: str | None) -> str:
+    """Blocks under the containers of the given path, joined by newlines.
+
+    Those under the page's own best container instead, if the page lacks the path or has no text
+    but links under it.
+    """
+    blocks, containers = parse(page)
+    held = lambda inside: sum(max(0, len(words) - 3 * linked) for words, linked, key in blocks if inside[key])
+    inside = _inside(containers, path) if path is not None else []
+    votes = score(blocks, containers)
+    if votes or not any(node.path == path for _, node in containers):
+        best = _inside(containers, max(votes, key=lambda x: (votes[x], x)) if votes else "")
+        if path is None or not any(node.path == path for _, node in containers) or held(inside) == 0 < held(best):
+            inside = best
     return "\n".join(words for words, _, key in blocks if inside[key])
 
 
