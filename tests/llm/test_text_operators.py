@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import random
 import zlib
@@ -258,6 +259,51 @@ def test_patterns_hold_every_piece_once(histogram):
         assert first[0] == 0 and (np.diff(first) > 0).all() and first[-1] < histogram[length]
 
 
+def one_at_a_time(histogram, size):
+    """Shortest-pack-first as it is told: every piece by itself, longest first."""
+    packs = []
+    for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        i = max(range(len(packs)), key=lambda i: (size - sum(packs[i]), packs[i]), default=None)
+        if i is not None and sum(packs[i]) + length <= size:
+            packs[i] = (*packs[i], length)
+        else:
+            packs.append((length,))
+    return collections.Counter(packs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 9), max_size=12))
+def test_patterns_equal_placing_one_at_a_time(histogram):
+    assert dict(packing.pack_histogram(histogram, 30)) == one_at_a_time(histogram, 30)
+
+
+def test_the_pack_with_most_room_comes_first():
+    assert sorted(packing.pack_histogram({6: 1, 5: 1, 3: 1}, 10)) == [((5, 3), 1), ((6,), 1)]
+    assert packing.pack_histogram({3: 7}, 10) == [((3, 3, 3), 2), ((3,), 1)]
+    with pytest.raises(ValueError):
+        packing.pack_histogram({11: 1}, 10)
+
+
+def test_long_pieces_are_not_remembered():
+    known = packing._known(None)
+    text = "漢" * 5000 + " " + "b" * 200 + " short"
+    want = packing._tokenizer(None).encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(packing.token_bytes([text])[0], "<u4").tolist() == want
+    assert max(map(len, known)) <= packing.LONGEST_PIECE
+
+
+def test_packing_shuffles_no_pieces(odd, monkeypatch):
+    from vecscore.llm import common
+
+    plan = packing.pack(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    rows = sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(odd).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    other = packing.pack(odd.repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"]) for r in other) == rows
+    assert len({(r["sequence_id"], r["offset"]) for r in other}) == len(other)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aThe ing.,!'s<|>0é\n\t\x1cΣ́"), st.characters(codec="utf-8")), max_size=40), max_size=4))
 def test_tokens_equal_the_library(texts):

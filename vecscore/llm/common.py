@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -29,16 +32,16 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share.
+    """A new path in the folder that all executors share: what spark.checkpoint.dir names.
 
-    That folder is what spark.checkpoint.dir names; only where it is unset (tests on one
-    machine) does a folder under /tmp stand in.
+    Only a local session, whose executors are this machine, may leave the setting out; a cluster
+    without it is an error, as no folder of one machine would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints/vecscore"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/vs-{uuid.uuid4().hex}"
 
 
@@ -86,43 +89,47 @@ def crc_mod(key: str, n: int):
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % n
 
 
+def text_lists(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[list[list]]:
+    """Lists of column values, cut where the texts (the last column) exceed `chars` bytes; a row is never cut.
+
+    Spark itself ends a batch at spark.sql.execution.arrow.maxBytesPerBatch, so whole texts of any
+    length come in batches of bounded size.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < len(upto):
+            stop = min(len(upto), 1 + int(np.searchsorted(upto, upto[start] - sizes[start] + chars)))
+            yield [c.to_pylist() for c in batch.slice(start, stop - start).columns]
+            start = stop
+
+
 def text_map(df: DataFrame, function: Callable[[list], dict], columns: list[str], schema: str, chars: int = 4_000_000) -> DataFrame:
     """Apply `function` to lists of column values, a bounded number of characters at a time.
 
-    `function` gets one list per column and returns a dict of output lists. A row is never
-    cut; a batch ends once its texts (the last column) exceed `chars`.
+    `function` gets one list per column and returns a dict of output lists.
     """
     out = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [batch.column(i).to_pylist() for i in range(len(columns))]
-            start = size = 0
-            for i, text in enumerate(lists[-1]):
-                size += len(text) if text else 1
-                if size >= chars or i + 1 == len(lists[-1]):
-                    made = function(*[x[start : i + 1] for x in lists])
-                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
-                    start, size = i + 1, 0
+        for lists in text_lists(batches, chars):
+            made = function(*lists)
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
-
-
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], list], chars: int = 1_000_000) -> DataFrame:
     """The whole rows of df for whose text `keep` says true; it gets lists of texts of bounded length."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            start = size = 0
-            for i, text in enumerate(texts):
-                size += len(text) if text else 1
-                if size >= chars or i + 1 == len(texts):
-                    yield batch.slice(start, i + 1 - start).filter(pa.array(keep(texts[start : i + 1]), pa.bool_()))
-                    start, size = i + 1, 0
+            start = 0
+            for (texts,) in text_lists([batch.select([at])], chars):
+                yield batch.slice(start, len(texts)).filter(pa.array(keep(texts), pa.bool_()))
+                start += len(texts)
 
     return df.mapInArrow(run, df.schema)
 

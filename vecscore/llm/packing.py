@@ -1,36 +1,39 @@
 """Packing documents into sequences by shortest-pack-first over the length histogram.
 
 Tokens are counted and cut in one pass over the texts: whole sequences of `size` tokens, and a
-rest. Only the histogram of rest lengths (at most `size` numbers) comes to the driver. There,
-lengths are placed longest first: copies of a length go to the open pattern with the least room
-that still fits. Every pattern counts how many sequences have it. The patterns' places go back as
-a table of rank intervals by length, and each piece finds its place by its rank among the pieces
-of its length; ranks are counted within salted parts of a length, so that a frequent length is
-ranked by many tasks.
+rest. Only the histogram of piece lengths (at most `size` numbers) comes to the driver. There,
+lengths are placed longest first, each copy on the open pattern that holds least so far (the one
+with the most room), if it fits there; if not, it opens a pattern. Copies are not placed one by
+one: every pattern counts how many sequences have it, and a step moves as many as it can.
+
+The patterns' places go back as a table of rank intervals by length, and each piece finds its
+place by its rank among the pieces of its length. A task of the first pass numbers its own pieces
+by length as it writes them; adding the counts of the tasks before gives the rank, so that pieces
+are neither sorted nor shuffled for it, however frequent a length is.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from vecscore.llm.common import stage, text_map
+from vecscore.llm.common import join_measured, stage, text_lists
 
 SIZE = 2048
 END = 1
-PARTS = 64
-#: Bound of what one Python worker remembers.
-MOST_PIECES = 1 << 19
+#: Bounds of what one Python worker remembers: pieces of text, and the characters of each.
+MOST_PIECES, LONGEST_PIECE = 1 << 19, 64
 
 
 @lru_cache(1)
@@ -66,18 +69,20 @@ class _Known(dict):
     def cut(self, text: str) -> list[str]:
         return _BLANK(text) if _OTHER(text) else _PIECES(text.lower())
 
-    def fill(self, pieces: set[str]) -> None:
+    def fill(self, pieces: set[str]) -> dict[str, bytes]:
+        """Make sure that all pieces are known; returns those too long to be remembered."""
         if len(self) > MOST_PIECES:
             self.clear()
         new = [t for t in pieces if t not in self]
-        words = [t for t in new if t.isalpha() and t.islower() and not _OTHER(t)]
+        words = [t for t in new if t.isalpha() and t.islower() and len(t) <= LONGEST_PIECE and not _OTHER(t)]
         if words:
             ids = np.array(self.lean.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             packed, stop = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             self.update(zip(words, [packed[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
-        rest = [t for t in new if t not in self]
+        rest, long = [t for t in new if t not in self], {}
         for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[t] = np.array(e.ids, "<u4").tobytes()
+            (self if len(t) <= LONGEST_PIECE else long)[t] = np.array(e.ids, "<u4").tobytes()
+        return long
 
 
 @lru_cache(1)
@@ -89,75 +94,80 @@ def token_bytes(texts: list[str | None], path: str | None = None, end: int = END
     """Ids of each text as little-endian unsigned 32-bit integers, with the end id."""
     known, closing = _known(path), np.array([end], "<u4").tobytes()
     cut = [known.cut(t or "") for t in texts]
-    known.fill(set().union(*cut))
-    return [b"".join(map(known.__getitem__, pieces)) + closing for pieces in cut]
+    long = known.fill(set().union(*cut))
+    ids = (lambda t: long[t] if t in long else known[t]) if long else known.__getitem__
+    return [b"".join(map(ids, pieces)) + closing for pieces in cut]
+
+
+_PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, nth bigint"
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at multiples of `size`."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, task, nth): every document cut at multiples of `size`.
 
-    def run(keys: list, texts: list) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        for key, packed in zip(keys, token_bytes(texts, path), strict=True):
-            n = len(packed) // 4
-            for at in range(0, n, size):
-                part = packed[4 * at : 4 * (at + size)]
-                for k, v in (("doc_id", key), ("start", at), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part)), ("doc_tokens", n)):
-                    out[k].append(v)
-        return out
+    nth counts a task's pieces of one length from 0. It is only of use once the rows are written,
+    as a task may run again elsewhere.
+    """
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return text_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, ["doc_id", "text"], schema, chars=2_000_000)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        for keys, texts in text_lists(batches, 2_000_000):
+            out: list[list] = [[] for _ in range(5)]
+            nth = []
+            for key, packed in zip(keys, token_bytes(texts, path), strict=True):
+                n = len(packed) // 4
+                for at in range(0, n, size):
+                    part = packed[4 * at : 4 * (at + size)]
+                    for column, v in zip(out, (key, at, len(part) // 4, zlib.crc32(part), n), strict=True):
+                        column.append(v)
+                    nth.append(seen[len(part) // 4])
+                    seen[len(part) // 4] += 1
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out], pa.array([task] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names=[x.split()[0] for x in _PIECE.split(", ")])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECE)
 
 
 def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in order) and their counts, by shortest-pack-first.
 
-    Lengths are placed longest first. Of the open patterns that have room, those that a length
-    fills best come first; what is left of a pattern's count stays as it was. Without one, lengths
-    open patterns of their own.
+    The result is that of placing one piece after the other, longest first, each on the open
+    pattern with the most room (ties: the greatest pattern) or, if it is too long for that one, on
+    a new one.
     """
-    open_by_room: dict[int, list] = defaultdict(list)
     rooms: list[int] = []
-    done: list[tuple[tuple[int, ...], int]] = []
+    by_room: dict[int, list[tuple[int, ...]]] = defaultdict(list)  # sorted patterns
+    counts: dict[tuple[int, ...], int] = defaultdict(int)
 
     def put(pattern: tuple[int, ...], count: int, room: int) -> None:
-        if not room:
-            done.append((pattern, count))
-            return
-        if not open_by_room[room]:
-            insort(rooms, room)
-        open_by_room[room].append((pattern, count))
+        if pattern not in counts:
+            if not by_room[room]:
+                insort(rooms, room)
+            insort(by_room[room], pattern)
+        counts[pattern] += count
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         if length > size or length < 1:
             raise ValueError("lengths are from 1 to the sequence's size")
-        fitted = []
-        while left:
-            i = bisect_left(rooms, length)
-            if i == len(rooms):
-                many = size // length
-                if left >= many and many:
-                    fitted.append(((length,) * many, left // many, size - many * length))
-                    left %= many
-                if left:
-                    fitted.append(((length,) * left, 1, size - left * length))
-                break
-            room = rooms[i]
-            pattern, count = open_by_room[room].pop()
-            if not open_by_room[room]:
-                rooms.pop(i)
-            each = min(room // length, max(1, left // count))
-            used = min(count, left // each)
-            if used < count:
-                put(pattern, count - used, room)
-            fitted.append((pattern + (length,) * each, used, room - each * length))
-            left -= used * each
-        for pattern, count, room in fitted:
-            put(pattern, count, room)
-    done += [p for room in rooms for p in open_by_room[room]]
-    return done
+        while left and rooms and rooms[-1] >= length:
+            room = rooms[-1]
+            pattern = by_room[room][-1]
+            used = min(left, counts[pattern])
+            counts[pattern] -= used
+            if not counts[pattern]:
+                del counts[pattern]
+                by_room[room].pop()
+                if not by_room[room]:
+                    rooms.pop()
+            put((*pattern, length), used, room - length)
+            left -= used
+        # None has room: new ones, each of which takes copies until it has no room either.
+        many = size // length
+        if left >= many:
+            put((length,) * many, left // many, size - many * length)
+        if left % many:
+            put((length,) * (left % many), 1, size - left % many * length)
+    return list(counts.items())
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -179,20 +189,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """Pieces of all documents with sequence_id and offset.
 
     Null text counts as empty: the end id alone. Null ids and repeated rows are documents like any
-    others; an empty table gives an empty one; further columns are not looked at.
+    others; an empty table gives an empty one; further columns are not looked at. Which of several
+    pieces of one length goes into which of the sequences that hold this length depends on how
+    the input is dealt over tasks; the patterns and their counts do not.
     """
     cut = stage(pieces(docs, id_col, text_col, size, path))
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
-    keyed = cut.withColumn("part", part)
-    # At most size * PARTS counts.
-    counts = keyed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}
+    counts = stage(cut.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
     table = places(pack_histogram(histogram, size))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = keyed.withColumn("row", F.row_number().over(within) - 1).join(offsets.drop("n"), ["length", "part"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("row") + F.col("first")).cast("bigint").alias("rank"))
+    # A row per task and length, so the window of a length is as long as there are tasks.
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = join_measured(cut, offsets, ["task", "length"], F.lit(0), F.col("nth"))
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("nth") + F.col("first")).cast("bigint").alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # patterns: a few per length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
