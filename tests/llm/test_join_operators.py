@@ -115,7 +115,7 @@ def test_recall_against_brute_force(spark):
     x = vectors(2000, 1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in ann.neighbours(df, lambda i: i % 20 == 0, pivots=128, depth=32, block=500, query_block=40).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(df, lambda i: i % 20 == 0, pivots=128, block=500, query_block=40).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     want = gold(list(range(2000)), x, range(0, 2000, 20), 20)
     assert got.keys() == want.keys() and {len(v) for v in got.values()} == {20}
@@ -125,17 +125,61 @@ def test_recall_against_brute_force(spark):
 def test_unusable_vectors_ties_and_copies(spark):
     x = vectors(30, 2)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[5].tolist()) for i in range(100, 140)] + [(100, x[5].tolist())]
-    bad = [(200, None), (220, [0.0] * 16), (240, [float("nan")] + [1.0] * 15), (260, [None] + [1.0] * 15), (280, [float("inf")] + [1.0] * 15), (300, [1.0]), (None, [1.0] * 16)]
-    df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS c", "2 AS v", "3 AS id", "4 AS score")
-    got = collections.defaultdict(list)
-    for r in ann.neighbours(df, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append(r["vec_id"])
+    bad = [(200, None), (220, [0.0] * 16), (240, [float("nan")] + [1.0] * 15), (260, [None] + [1.0] * 15), (280, [float("inf")] + [1.0] * 15), (None, [1.0] * 16), (290, [])]
+    df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS c", "2 AS v", "3 AS id", "4 AS score", "5 AS no", "6 AS bucket")
+    got = found(ann.neighbours(df, lambda i: i % 20 == 0))
     ids = list(range(30)) + list(range(100, 140))
     want = gold(ids, np.concatenate([x, np.repeat(x[5:6], 40, 0)]), [0, 20, 100, 120], 20)
-    assert dict(got) == want
+    assert got == want
     assert ann.neighbours(df.limit(0), lambda i: i % 20 == 0).count() == 0
     few = df.filter("vec_id in (0, 1, 2)")
     assert ann.neighbours(few, lambda i: i % 20 == 0).count() == 2
+    assert ann.neighbours(few, lambda i: i < 0).count() == 0
+
+
+def found(df):
+    out = collections.defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    return dict(out)
+
+
+def test_equal_scores_of_different_vectors_go_to_the_smaller_ids(spark):
+    r = np.random.default_rng(3)
+    tied = [[1.0, 0.0, *r.normal(size=6).tolist()] for _ in range(60)]
+    rows = [(0, [1.0] + [0.0] * 7)] + [(1000 - i, v) for i, v in enumerate(tied)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = found(ann.neighbours(df, lambda i: i == 0, pivots=2, block=20))
+    assert got == {0: list(range(941, 961))}
+
+
+def test_vectors_of_unequal_size_and_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0, 1.0]), (1, [2.0]), (2, [0.5, 3.0]), (3, [1.0, 1.0, -5.0]), (4, [9.0, 0.0]), (4, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.neighbours(df, lambda i: i == 0, k=3, target=1.0).orderBy("rank").collect()]
+    assert got == [(4, 9.0), (2, 3.5), (1, 2.0)]
+
+
+def test_footrule_sums_equal_the_definition():
+    r = np.random.default_rng(4)
+    near = np.array([r.permutation(20)[:6] for _ in range(50)], np.int16)
+    files = ann.Files(near, r.normal(size=(50, 3)), 20, 2)
+    own = r.permutation(20)[:9].astype(np.int16)
+    place = lambda p, x: list(p[:6]).index(x) if x in p[:6] else 6
+    distance = [sum(abs(place(v, x) - place(own, x)) for x in range(20)) for v in near]
+    assert (2 * files.footrule(own) == 42 - np.array(distance)).all()
+
+
+def test_recall_on_the_whole_table(spark):
+    """Every query of the table against brute force, with the parameters of op2_ann."""
+    from vecscore.llm import registry
+
+    sf_dir = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows])
+    got, want = found(registry.op2_ann(spark, sf_dir)), gold(ids, x, [i for i in ids if i % 20 == 0], 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
 # --- WARC
