@@ -2,6 +2,7 @@ import base64
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -233,13 +234,132 @@ def test_line_dedup_both_joins_agree(spark, monkeypatch):
     assert sorted(map(str, lines.dedup_lines(df).collect())) == a
 
 
+def path_of(page, tag, nth=0):
+    return [path for _, t, path, _ in html.Page(page).containers if t == tag][nth]
+
+
+def alone(page):
+    return html.main_text(page, [])
+
+
+STORY = " ".join(f"This is sentence {i} of the article, long enough to count." for i in range(20))
+
+
 def test_html_path_that_holds_nothing():
-    story = " ".join(f"This is sentence {i} of the article, long enough to count." for i in range(20))
-    path = html.parse("<body><div class=main><p>x</p></div></body>")[1][-1][1].path
+    path = path_of("<body><div class=main><p>x</p></div></body>", "div")
     page = "<body><div class=main>{}</div><div class=story><p>{}</p></div></body>"
-    assert html.main_text(page.format("", story), path) == story
-    assert html.main_text(page.format("<a href='/x'>more stories</a>", story), path) == story
-    assert html.main_text(page.format("<p>The host's path.</p>", story), path) == "The host's path."
+    assert html.main_text(page.format("", STORY), [path]) == STORY
+    assert html.main_text(page.format("<a href='/x'>more stories</a>", STORY), [path]) == STORY
+    assert html.main_text(page.format("<p>The host's path.</p>", STORY), [path]) == "The host's path."
+    # Another path that the host's pages vote for takes over where the winner holds little.
+    other = path_of(page, "div", 1)
+    assert html.main_text(page.format("<p>A teaser.</p>", STORY), [path, other]) == STORY
+    assert html.main_text(page.format(f"<p>{STORY}</p>", "A second."), [path, other]) == STORY
+
+
+@pytest.mark.parametrize("page", [
+    "<div><p>before</p><svg/><p>{}</p></div>", "<div><p>before</p><svg><path d='1'/><p>{}</p></div>", "<div><p>before</p><svg><text>no</text></svg><p>{}</p></div>",
+    "<body><div class='overflow-hidden'><article><p>before<p>{}</article></div><p>x</body>", "<body><div class='content has-sidebar'><article><p>before</p><p>{}</p></article></div></body>",
+    "<body><div class='sidebar-layout'><article><p>before</p><p>{}</p></article><div class=sidebar>side</div></div></body>", "<body><form id=page><div class=menu>Home</div><div><p>before<p>{}</div></form></body>",
+    "<div><p title='a > b' class=\"x>y\">before</p><p title=it's>{}</p></div>", "<div><p>before<!-- <p>no --></p><? no ?><p>{}<script>if (a<b) c = '</p>';</script></div>", "<div><p>before <span class=ad>buy</span></p><p>{}</div>",
+])
+def test_articles_are_not_lost(page):
+    assert alone(page.replace("{}", STORY)) == f"before\n{STORY}"
+
+
+def test_what_lies_around_is_dropped():
+    around = "<header>h</header><nav>n</nav><div class='cookie-notice'>c</div><div id=sidebar-left>s</div><div class='page-header'>h</div><div role=complementary>r</div><form>f</form><div class='ad ad-top'>a</div><div style='display: none'>d</div>"
+    after = f"<section class=comments><article class=comment><p>{STORY}</p></article></section><aside>a</aside><footer>f</footer>"
+    page = f"<body>{around}<article><header><h1>Title</h1></header><p>One <script>x</script>two<button>b</button>.</p><p>{STORY}</p></article>{after}</body>"
+    assert alone(page) == f"Title\nOne two.\n{STORY}"
+    assert alone(f"<body>{around}<div class=post><p>{STORY}</p></div>{after}</body>") == STORY
+
+
+@pytest.mark.parametrize("page", [
+    "<a " + '"' * 50_000, "<a " * 50_000, "<a =\"" * 30_000 + ">", "<a =\"> '" * 20_000, "<div>" * 50_000 + "deep", "<div>" * 50_000 + "</b>" * 50_000, "<b><table><div>" + "<i>" * 20_000 + "</b>" * 50_000, "<p>" * 50_000, "<!--" * 50_000,
+    "<li>" * 50_000, "<script>" * 50_000, "<svg>" * 3_000, "<div class=ad>" * 20_000, "&amp" * 50_000, "</" * 50_000, "<" * 200_000, "<td>" * 30_000, "<p a=" + "x " * 100_000 + ">", "word " * 500_000,
+], ids=range(19))
+def test_scanner_is_linear(page):
+    before = time.process_time()
+    html.main_text(f"{page}<p>after</p>", [1, 2])
+    assert time.process_time() - before < 3
+
+
+def test_deep_pages_vote_with_few_short_paths(spark):
+    df = spark.createDataFrame([(1, "http://h/", "<div class=a>" * 8000 + STORY), (2, "http://h/", None)], "page_id int, url string, html string")
+    assert html.host_votes(df.selectExpr("*", "'h' AS host")).count() < 100
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {1: STORY, 2: ""}
+
+
+def naive_extract(pages):
+    """Consensus paths once more, by trees and paths in full: for whole pages of div, article, section and p alone."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.top = {"tag": "", "path": (), "kids": [], "own": 0}
+            self.stack, self.blocks = [self.top], []
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            if tag != "p":
+                node = {"tag": tag, "path": (*self.stack[-1]["path"], tag + "".join("." + x for x in sorted(dict(attrs).get("class", "").split()))), "kids": [], "own": 0}
+                self.stack[-1]["kids"].append(node)
+                self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            if tag != "p":
+                self.stack.pop()
+
+        def handle_data(self, data):
+            self.stack[-1]["own"] += len(data)
+            self.blocks.append((data, self.stack[-1]["path"]))
+
+    def weigh(node, out):
+        total = node["own"] + sum((0.5 if k["tag"] == "article" else 0.9) * weigh(k, out) for k in node["kids"])
+        if node["path"] and total:
+            out[node["path"]] = max(out.get(node["path"], 0), total * (1.5 if node["tag"] == "article" else 1))
+        return total
+
+    votes, wins, trees = collections.defaultdict(float), collections.Counter(), []
+    for host, page in pages:
+        tree, out = Tree(page), {}
+        weigh(tree.top, out)
+        for path, x in out.items():
+            votes[host, path] += (x / max(out.values())) ** 4
+            wins[host, path] += x == max(out.values())
+        trees.append((host, tree))
+    texts = []
+    for host, tree in trees:
+        ranked = sorted((path for h, path in votes if h == host), key=lambda path: -votes[host, path])
+        most = max(wins[host, path] for path in ranked[:8])
+        kept = [path for i, path in enumerate(ranked[:8]) if i == 0 or wins[host, path] >= 0.3 * most]
+        held = [[t for t, p in tree.blocks if p[: len(path)] == path] for path in kept]
+        held = [h for h in held if h]
+        if held and sum(map(len, held[0])) < 0.25 * max(sum(map(len, h)) for h in held):
+            held.sort(key=lambda h: -sum(map(len, h)))
+        if not held:
+            out = {}
+            weigh(tree.top, out)
+            best = max(out, key=out.get)
+            held = [[t for t, p in tree.blocks if p[: len(best)] == best]]
+        texts.append("\n".join(held[0]))
+    return texts
+
+
+def test_votes_equal_a_naive_count(spark):
+    r = random.Random(12)
+    words = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(n))
+    rows = []
+    for i in range(60):
+        h, kind = r.randint(0, 2), r.random()
+        story = "".join(f"<p>{words(r.randint(5, 40))}</p>" for _ in range(r.randint(1, 6)))
+        body = f"<article>{story}</article>" if kind < 0.3 else f"<div class='b a'><section>{story}</section></div>" if kind < 0.7 else f"<div class=c>{words(3)}<div>{story}</div></div>"
+        rows.append((i, f"http://h{h}/{i}", f"<body><div class=x><p>{words(r.randint(1, 30))}</p></div>{body}<div class=z>{words(4)}</div></body>"))
+    got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = naive_extract([(url.split("/")[2], page) for _, url, page in rows])
+    assert [got[i] for i in range(60)] == want
 
 
 # --- packing
