@@ -90,6 +90,51 @@ def test_png_round_trip_of_every_filter(kind):
     assert (media.decode_png(media.encode_png(x, kind)) == x).all()
 
 
+def naive_unfilter(lines):
+    """Sample by sample, as the format describes it."""
+    height, width = len(lines), lines.shape[1] - 1
+    out = np.zeros((height, width), int)
+    for y in range(height):
+        for x in range(width):
+            a, b = (out[y, x - 1] if x else 0), (out[y - 1, x] if y else 0)
+            c = out[y - 1, x - 1] if x and y else 0
+            p = int(a) + int(b) - int(c)
+            paeth = min((abs(p - v), i, v) for i, v in enumerate((a, b, c)))[2]
+            out[y, x] = (int(lines[y, x + 1]) + (0, a, b, (a + b) // 2, paeth)[lines[y, 0]]) % 256
+    return out
+
+
+def test_unfiltering_of_mixed_rows_equals_the_definition():
+    r = np.random.default_rng(8)
+    lines = [np.hstack([r.integers(0, 5, (n, 1)), r.integers(0, 256, (n, 64))]).astype(np.uint8) for n in (1, 7, 40, 3, 0)]
+    for got, x in zip(media.unfilter_all(lines), lines, strict=True):
+        assert (got == naive_unfilter(x)).all()
+    with pytest.raises(ValueError):
+        media.unfilter(np.full((1, 65), 5, np.uint8))
+
+
+def test_all_filters_are_used_and_undone(spark):
+    """Over the whole table, through the functions of the query."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    samples = [media.to_samples(t)[0] for t in texts]
+    pngs = [media.encode_png(x) for x in samples]
+    assert {k for x in pngs for k in media.filtered_lines(x)[:, 0].tolist()} == {0, 1, 2, 3, 4}
+    assert all((a == b).all() for a, b in zip(media.decode_pngs(pngs), samples, strict=True))
+
+
+def test_cosine_hash_equals_a_naive_transform():
+    r = np.random.default_rng(9)
+    for height in (1, 5, 32, 77):
+        x = r.integers(0, 256, (height, 64)).astype(np.uint8)
+        part = lambda size, i: [(j, min(j + 1, (i + 1) * size / 32) - max(j, i * size / 32)) for j in range(size) if min(j + 1, (i + 1) * size / 32) > max(j, i * size / 32)]
+        small = [[sum(float(x[j, k]) * u * v for j, u in part(height, a) for k, v in part(64, b)) * 32 * 32 / height / 64 for b in range(32)] for a in range(32)]
+        cos = [[np.cos(np.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+        low = [round(sum(cos[p][a] * cos[q][b] * small[a][b] for a in range(32) for b in range(32)), 6) if p or q else 0.0 for p in range(8) for q in range(8)]
+        middle = sorted(low)
+        middle = (middle[31] + middle[32]) / 2
+        assert np.unpackbits(np.frombuffer(media.cosine_hash(x), np.uint8)).tolist() == [int(v > middle) for v in low]
+
+
 def test_png_damage_is_noticed():
     png = media.encode_png(np.zeros((2, 64), np.uint8))
     for at in range(len(png)):

@@ -1,7 +1,9 @@
 """Media columns: payloads as 8-bit greyscale PNG in binary columns, and perceptual hashes.
 
-Writer and reader are numpy and zlib alone. The reader verifies the signature, every chunk's
-checksum, the image's size and zlib's own checksum, and undoes all five row filters.
+Writer and reader are numpy and zlib alone. The writer chooses each row's filter by the least sum
+of absolute differences. The reader verifies the signature, every chunk's checksum, the image's
+size and zlib's own checksum, and undoes all five row filters: many rows at a time, Average and Paeth, in which a sample depends on the one before it, by columns over the rows
+of a whole batch of images.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 WIDTH = 64
+#: Rows from one that needs no other row to the next.
+STRETCH = 32
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -48,14 +52,26 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c)).astype(np.uint8)
 
 
-def encode_png(samples: np.ndarray, row_filter: int = NONE, level: int = 2) -> bytes:
-    """An 8-bit greyscale PNG of a two-dimensional array of bytes.
+def best_filters(samples: np.ndarray) -> np.ndarray:
+    """Lines with a filter type before each row: the one whose stored bytes, as signed numbers, have the least absolute sum (ties: the lowest).
 
-    Text compresses best unfiltered, so that is the default.
+    Every STRETCH-th row has a filter that needs no other row, so that readers can work on many
+    parts of a long image at once.
     """
+    stored = np.stack([apply_filter(samples, kind) for kind in range(5)])
+    cost = np.abs(stored.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64)
+    cost[UP:, ::STRETCH] = np.iinfo(np.int64).max
+    kinds = cost.argmin(0)
+    return np.hstack([kinds[:, None].astype(np.uint8), stored[kinds, np.arange(len(samples))]])
+
+
+def encode_png(samples: np.ndarray, row_filter: int | None = None, level: int = 2) -> bytes:
+    """An 8-bit greyscale PNG of a two-dimensional array of bytes; every row by its best filter, or all by the given one."""
     height, width = samples.shape
-    lines = np.empty((height, width + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = row_filter, apply_filter(samples, row_filter)
+    if row_filter is None:
+        lines = best_filters(samples)
+    else:
+        lines = np.hstack([np.full((height, 1), row_filter, np.uint8), apply_filter(samples, row_filter)])
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -80,42 +96,63 @@ def chunks(png: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def unfilter(lines: np.ndarray) -> np.ndarray:
-    """Samples of filtered lines (filter type first in each); runs of rows with one type go together."""
-    kinds, rows = lines[:, 0], lines[:, 1:].copy()
-    if not kinds.any():
-        return rows
-    starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-    for lo, hi in zip(starts, np.r_[starts[1:], len(kinds)], strict=True):
-        kind, block = kinds[lo], rows[lo:hi]
-        if kind == SUB:
-            np.cumsum(block, axis=1, dtype=np.uint8, out=block)
-        elif kind == UP:
-            if lo:
-                block[0] += rows[lo - 1]
-            np.cumsum(block, axis=0, dtype=np.uint8, out=block)
-        elif kind in (AVERAGE, PAETH):
-            for y in range(lo, hi):
-                _undo_row(rows[y], rows[y - 1] if y else np.zeros_like(rows[y]), kind)
-        elif kind != NONE:
-            raise ValueError(f"unknown row filter {kind}")
-    return rows
-
-
-def _undo_row(row: np.ndarray, up: np.ndarray, kind: int) -> None:
-    """Average and Paeth need each sample's left neighbour: one after the other."""
-    left = corner = 0
-    for x, (value, b) in enumerate(zip(row.tolist(), up.tolist(), strict=True)):
+    """Samples of the filtered lines of one image (filter type first in each)."""
+    return unfilter_all([lines])[0]
+
+
+def unfilter_all(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Samples of several images of equal width, given as filtered lines.
+
+    A row of filter None or Sub needs no other row, so it begins a stretch, as does an image's first
+    row. The n-th rows of all stretches go together: Up adds the rows above; Average and Paeth, in
+    which a sample depends on the one before it, go by columns over all rows of their kind.
+    """
+    if not images:
+        return []
+    bounds = np.r_[0, np.cumsum([len(x) for x in images])]
+    kinds = np.concatenate([x[:, 0] for x in images])
+    rows = np.concatenate([x[:, 1:] for x in images])
+    if kinds.max(initial=0) > PAETH:
+        raise ValueError(f"unknown row filter {kinds.max()}")
+    sub = np.flatnonzero(kinds == SUB)
+    rows[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint8)
+    top = np.zeros(len(kinds), bool)
+    top[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(top | (kinds <= SUB))
+    lengths = np.diff(np.r_[starts, len(kinds)])
+    starts, lengths = starts[order := np.argsort(-lengths, kind="stable")], -lengths[order]
+    for n in range(-int(lengths[0]) if len(lengths) else 0):
+        at = starts[: np.searchsorted(lengths, -n)] + n
+        own = kinds[at]
+        up = at[(own == UP) & ~top[at]]
+        rows[up] += rows[up - 1]
+        for kind in (AVERAGE, PAETH):
+            some = at[own == kind]
+            if len(some):
+                above = np.where(top[some, None], 0, rows[some - 1]).astype(np.uint8)
+                rows[some] = _undo_rows(rows[some], above, kind)
+    return [rows[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _undo_rows(stored: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
+    """Samples of rows of one filter, each with the row above it: column by column, for all rows at once."""
+    values, ups = stored.T.astype(np.int16), above.T.astype(np.int16)
+    out = np.empty_like(values)
+    left = corner = np.zeros(values.shape[1], np.int16)
+    for x in range(len(values)):
+        b = ups[x]
         if kind == AVERAGE:
             guess = (left + b) >> 1
         else:
-            pa, pb, pc = abs(b - corner), abs(left - corner), abs(left + b - 2 * corner)
-            guess = left if pa <= pb and pa <= pc else b if pb <= pc else corner
-        row[x] = left = (value + guess) & 255
-        corner = b
+            pa, pb, pc = np.abs(b - corner), np.abs(left - corner), np.abs(left + b - 2 * corner)
+            guess = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, b, corner))
+        left, corner = (values[x] + guess) & 255, b
+        out[x] = left
+    return out.T.astype(np.uint8)
 
 
-def decode_png(png: bytes) -> np.ndarray:
-    """The samples of an 8-bit greyscale PNG; raises ValueError if anything is damaged."""
+def filtered_lines(png: bytes) -> np.ndarray:
+    """The filtered lines of an 8-bit greyscale PNG; raises ValueError if anything is damaged."""
     parts = chunks(png)
     width, height, *form = struct.unpack(">IIBBBBB", parts[0][1])
     if form != [8, 0, 0, 0, 0]:
@@ -126,7 +163,23 @@ def decode_png(png: bytes) -> np.ndarray:
         raise ValueError(str(e)) from e
     if len(raw) != height * (width + 1):
         raise ValueError("the image has another size")
-    return unfilter(np.frombuffer(raw, np.uint8).reshape(height, width + 1))
+    return np.frombuffer(raw, np.uint8).reshape(height, width + 1)
+
+
+def decode_png(png: bytes) -> np.ndarray:
+    """The samples of a PNG; raises ValueError if anything is damaged."""
+    return unfilter(filtered_lines(png))
+
+
+def decode_pngs(pngs: list[bytes]) -> list[np.ndarray]:
+    """decode_png() of many images, those of one width together."""
+    lines = [filtered_lines(x) for x in pngs]
+    out: list = [None] * len(lines)
+    for width in {x.shape[1] for x in lines}:
+        same = [i for i, x in enumerate(lines) if x.shape[1] == width]
+        for i, samples in zip(same, unfilter_all([lines[i] for i in same]), strict=True):
+            out[i] = samples
+    return out
 
 
 @lru_cache(1)
@@ -172,10 +225,9 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(keys: list, texts: list) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "feature_bits", "media")}
-        for text in texts:
-            samples, n = to_samples(text)
-            media = encode_png(samples)
-            image = decode_png(media)
+        made = [to_samples(text) for text in texts]
+        stored = [encode_png(samples) for samples, _ in made]
+        for (_, n), media, image in zip(made, stored, decode_pngs(stored), strict=True):
             payload, bits = image.tobytes(), cosine_hash(image)
             for k, v in (("n_bytes", n), ("payload_bytes", len(payload)), ("payload_sha256", hashlib.sha256(payload).hexdigest()), ("tail_crc32", zlib.crc32(payload[-64:])), ("media_bytes", len(media)), ("media_sha256", hashlib.sha256(media).hexdigest()), ("feature", bits.hex()), ("feature_bits", bits)):
                 out[k].append(v)
