@@ -20,21 +20,21 @@ def brute(rows):
 
 @pytest.mark.parametrize("days", [None, "2024-01-10", "2024-02-10"])
 def test_all_events_are_searched_whatever_their_dates(spark, tmp_path, days):
-    """As they are, all before and all after the date that the SQL of the split queries names."""
+    """Every event is a query and a candidate, on whichever days the events lie."""
     rows = spark.read.parquet(f"{SMALL}/events.parquet").filter("event_id % 3 = 0")
     if days:
         rows = rows.withColumn("ts", F.expr(f"timestamp_ntz'{days} 00:00:00' + make_dt_interval(0, 0, cast(event_id % 997 as int), 0)"))
     rows.write.parquet(f"file://{tmp_path}/events.parquet")
     sf_dir = f"file://{tmp_path}"
     want = brute(adapters.event_features(spark, sf_dir).collect())
-    got = {(r["qid"], r["rank"], r["ref_id"], r["d2"]) for r in catalog.q_signature_prune_knn_all(spark, sf_dir).collect()}
+    got = {(r["qid"], r["rank"], r["ref_id"], r["d2"]) for r in catalog.q_signature_prune_knn(spark, sf_dir).collect()}
     assert got == {(q, k + 1, ref, d) for q, near in want.items() for k, (ref, d, _) in enumerate(near)}
-    votes = {r["qid"]: r["n_fraud"] for r in catalog.q_event_votes_all(spark, sf_dir).collect()}
+    votes = {r["qid"]: r["n_fraud"] for r in catalog.q_event_votes(spark, sf_dir).collect()}
     assert votes == {q: sum(f for _, _, f in near) for q, near in want.items()}
 
 
 def test_fallback_scoring_meets_all_other_events(spark, tmp_path):
-    """All events lie after the date: scored payloads still find neighbours."""
+    """Scored payloads find neighbours on whichever day all of them lie."""
     rows = spark.read.parquet(f"{SMALL}/events.parquet").filter("event_id % 3 = 0")
     rows.withColumn("ts", F.expr("timestamp_ntz'2024-02-10 00:00:00' + make_dt_interval(0, 0, cast(event_id % 997 as int), 0)")).write.parquet(f"file://{tmp_path}/events.parquet")
     got = {r["n_fraud"]: r["n"] for r in catalog.q_fallback_scoring(spark, f"file://{tmp_path}").collect()}
@@ -54,3 +54,21 @@ def test_events_without_user_or_merchant_keep_their_row(spark, tmp_path):
     want = sorted(db.execute(oracle.sql()["q_features_vector"]).fetchall())
     got = sorted(tuple(r) for r in catalog.q_features_vector(spark, f"file://{tmp_path}").collect())
     assert len(got) == rows.count() and got == want
+
+
+def test_history_of_a_user_across_days(spark, tmp_path):
+    """Gaps of hours, a day and many days between a user's events, and events at the same time: against a plain loop."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1, 22)
+    hours = [0, 1, 1, 3, 24, 25, 49, 49.5, 200, 223.9, 224]
+    rows = [(i, start + datetime.timedelta(hours=h), i % 2, "view", 1.0 + i, '{"k": %d}' % (i % 3)) for i, h in enumerate(h for h in hours for _ in range(2))]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["n24"], r["last"], r["seen"]) for r in adapters.event_base(spark, f"file://{tmp_path}").collect()}
+    epoch = datetime.datetime(1970, 1, 1)
+    for i, ts, user, _, _, k in rows:
+        own = [r for r in rows if r[2] == user]
+        before = [r for r in own if (r[1], r[0]) < (ts, i)]
+        day = datetime.timedelta(days=1)
+        last = max(((r[1] - epoch) // datetime.timedelta(microseconds=1) for r in before), default=None)
+        assert got[i] == (sum(ts - day <= r[1] <= ts for r in own), last, any(r[5] == k for r in before))

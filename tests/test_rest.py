@@ -82,3 +82,34 @@ def test_sweep_and_gold_cache(spark, tmp_path):
     rows = evaluate.sweep(everyone, {"same": found(4), "less": found(2), "more": found(5)}, gold)
     evaluate.write_report(rows, f"file://{tmp_path}/report")
     assert {r["variant"]: (r["fp"], r["fn"], r["e"]) for r in rows.collect()} == {"same": (0, 0, 0), "less": (0, 2, 6), "more": (1, 0, 1)}
+
+
+def test_constants_from_files(spark, tmp_path):
+    from vecscore.functions.features import vectorize
+    from vecscore.schema import Normalisation, Risk
+
+    (tmp_path / "n.json").write_text(json.dumps({"max_amount": 100, "max_km": 50.5, "other": "x"}))
+    (tmp_path / "r.json").write_text(json.dumps({"5411": 0.9, "1": None}))
+    (tmp_path / "p.json").write_text(json.dumps([BASE, changed(merchant={"mcc": "7995"})]))
+    norm, risk = sources.read_normalisation(spark, f"file://{tmp_path}/n.json"), sources.read_risk(spark, f"file://{tmp_path}/r.json")
+    assert norm == Normalisation(max_amount=100.0, max_km=50.5) and risk == Risk(by_mcc={"5411": 0.9})
+    got = [r["vector"] for r in vectorize(sources.read_payloads(spark, f"file://{tmp_path}/p.json"), norm, risk).collect()]
+    assert got[0][0] == pytest.approx(0.4112) and got[0][12] == 0.9 and got[1][12] == 0.5
+
+
+def test_seeded_sample_is_the_same_in_another_engine(spark):
+    import hashlib
+
+    got = {r[0] for r in sampling.seeded(spark.range(500).repartition(7), ["id"], 20, seed=3).collect()}
+    assert got == set(sorted(range(500), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())[:20])
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from vecscore.sources import store
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        store.new_path(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert store.new_path(spark).startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -1,7 +1,7 @@
 """Squared distances and bounds, as column expressions and as numpy kernels.
 
 Codes are at most 16,000, so every product and sum of a squared distance is an integer below 2**53
-and double-precision matrix products give it exactly.
+and double-precision matrix products give it exactly; for doubles see pairwise_doubles().
 """
 
 from __future__ import annotations
@@ -17,12 +17,6 @@ def squared(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def box_bound(q: Column, lo: Column, hi: Column) -> Column:
-    """Least squared distance from codes to a box, as bigint."""
-    gap = F.zip_with(F.arrays_zip(q.alias("q"), lo.alias("lo")), hi, lambda x, h: F.greatest(x["lo"] - x["q"], x["q"] - h, F.lit(0)).cast("bigint"))
-    return F.aggregate(gap, F.lit(0).cast("bigint"), lambda s, x: s + x * x)
-
-
 def pairwise(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of q to all rows of p."""
     q, p = q.astype(np.float64), p.astype(np.float64)
@@ -49,7 +43,7 @@ def pairwise_doubles(q: np.ndarray, p: np.ndarray, k: int, same: np.ndarray | No
 
 
 def box_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """box_bound() of all rows of q to all boxes."""
+    """Least squared distances of all rows of q to all boxes."""
     out = np.zeros((len(q), len(lo)))
     for i in range(q.shape[1]):
         x = q[:, i : i + 1].astype(np.float64)

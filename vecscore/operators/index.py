@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from vecscore.functions.distance import squared
-from vecscore.operators.knn import MAX_CELLS, matrix
+from vecscore.operators.knn import MAX_CELLS, matrix, whole
 from vecscore.sources.store import staged
 
 
@@ -34,6 +34,7 @@ def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """points (ref_id, codes, ...) with columns cell and radius (distance to the own centroid)."""
     if len(centroids) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} centroids are not broadcast")
+    points = points.filter(whole()) if len(centroids) else points.limit(0)
     shared = points.sparkSession.sparkContext.broadcast(centroids)
     columns = [c for c in points.columns if c not in ("cell", "radius")]
     at = columns.index("codes")
@@ -50,7 +51,8 @@ def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
 def cell_sums(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """(cell, n, sums): one step's sums over the points nearest to each centroid."""
     shared = points.sparkSession.sparkContext.broadcast(centroids)
-    dim = centroids.shape[1]
+    dim = centroids.shape[1] if len(centroids) else 1
+    points = points.filter(whole()) if len(centroids) else points.limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = np.zeros(len(shared.value), np.int64), np.zeros((len(shared.value), dim))
@@ -72,13 +74,13 @@ def kmeans(points: DataFrame, k: int, iterations: int = 20, seed: int = 1) -> np
     """Centroids by Lloyd's rounds from k distinct points of the smallest seeded hashes.
 
     Stops when no centroid moves. An emptied cell starts anew at another point of that order. With
-    fewer than k distinct points there are fewer centroids.
+    fewer than k distinct points there are fewer centroids, none without points.
     """
     h = F.xxhash64(F.lit(seed), "codes")
-    spare = points.select("codes", h.alias("h")).distinct().orderBy("h", "codes").limit(2 * k).collect()
+    spare = points.filter(whole()).select("codes", h.alias("h")).distinct().orderBy("h", "codes").limit(2 * k).collect()
     spare = np.array([r["codes"] for r in spare], np.float64)
     centroids, unused = spare[:k], k
-    for _ in range(iterations):
+    for _ in range(iterations if len(spare) else 0):
         new = centroids.copy()
         filled = np.zeros(len(centroids), bool)
         for r in cell_sums(points, centroids).collect():  # k rows
@@ -152,19 +154,21 @@ def split_large(points: DataFrame, centroids: np.ndarray, cap: int, iterations:
 
     Lloyd's rounds over all points of all such cells at once, one pass per round, from distinct
     points of the whole cell; a cell with fewer distinct points gets one centroid for each. One
-    level only.
+    level only. A cap that would make more than MAX_CELLS cells is raised: cells then hold more
+    points, which a search deals over several tasks.
     """
     placed = assign(points, centroids)
+    if len(centroids) > MAX_CELLS // 4:
+        raise ValueError(f"more than {MAX_CELLS // 4} centroids to begin with")
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).collect()}
     if not sizes:
         return centroids
+    # ceil(n / (cap / 2)) over all cells is at most 2 n / cap and one for each.
+    cap = max(cap, 2 * -(-sum(sizes.values()) // (MAX_CELLS - 2 * len(centroids))))
     wanted = {c: -(-n // max(1, cap // 2)) for c, n in sizes.items()}
     rows = staged(placed.filter(F.col("cell").isin(list(sizes))).select("cell", "codes"))
     starts = _seeds_of_cells(rows, wanted, seed)
     first = np.r_[0, np.cumsum([len(starts.get(i, ())) for i in range(len(centroids))])]
-    total = len(centroids) - len(sizes) + int(first[-1])
-    if total > MAX_CELLS:
-        raise ValueError(f"{total} cells after splitting: more than {MAX_CELLS} are not broadcast; build fewer, larger ones")
     subs = np.concatenate([starts[c] for c in sorted(starts)])
     for _ in range(iterations):
         step = _sub_sums(rows, first, subs)
@@ -180,6 +184,8 @@ def split_large(points: DataFrame, centroids: np.ndarray, cap: int, iterations:
 def districts_of(centroids: np.ndarray, k: int, iterations: int = 25) -> np.ndarray:
     """A district for each cell, by k-means over the centroids."""
     k = min(k, len(centroids))
+    if not k:
+        return np.zeros(0, np.int64)
     c = centroids[np.random.default_rng(1).permutation(len(centroids))[:k]]
     for _ in range(iterations):
         at, _ = nearest(centroids, c)
@@ -191,7 +197,7 @@ def districts_of(centroids: np.ndarray, k: int, iterations: int = 25) -> np.ndar
 
 def describe(placed: DataFrame, centroids: np.ndarray, districts: np.ndarray | None = None) -> DataFrame:
     """(cell, district, n, first, centroid, lo, hi): counts, offsets in cell order, centroids and boxes of non-empty cells."""
-    dim = centroids.shape[1]
+    dim = centroids.shape[1] if len(centroids) else 1
     boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("codes")[i]) for i in range(dim)]).alias("lo"), F.array(*[F.max(F.col("codes")[i]) for i in range(dim)]).alias("hi"))
     districts = districts if districts is not None else np.zeros(len(centroids), np.int64)
     middle = placed.sparkSession.createDataFrame([(i, int(d), c.tolist()) for i, (d, c) in enumerate(zip(districts, centroids, strict=True))], "cell bigint, district bigint, centroid array<double>")
@@ -201,14 +207,24 @@ def describe(placed: DataFrame, centroids: np.ndarray, districts: np.ndarray | N
     return rows.select("cell", "district", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "centroid", "lo", "hi")
 
 
+def _width(rows: DataFrame, column: str) -> int:
+    """Length of the vectors of a column; 1 if there are none."""
+    return rows.agg(F.max(F.size(column))).first()[0] or 1
+
+
 def district_boxes(cells: DataFrame) -> DataFrame:
     """(district, cells, lo, hi): union of the boxes of each district's cells."""
-    dim = len(cells.first()["lo"])
+    dim = _width(cells, "lo")
     return cells.groupBy("district").agg(F.count(F.lit(1)).alias("cells"), F.array(*[F.min(F.col("lo")[i]) for i in range(dim)]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in range(dim)]).alias("hi"))
 
 
 def build(points: DataFrame, k: int = 4096, iterations: int = 20, districts: int = 64, cap: int = 1024, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(points with cell and radius, cells) of an index; k is at most the number of distinct points."""
+    """(points with cell and radius, cells) of an index; k is at most the number of distinct points.
+
+    Points are staged once, as every round reads them. Those whose codes are null or hold a null
+    are left out; without points there are no cells.
+    """
+    points = staged(points.filter(whole()))
     centroids = split_large(points, kmeans(points, k, iterations, seed), cap)
     placed = staged(assign(points, centroids))
     return placed, staged(describe(placed, centroids, districts_of(centroids, districts)))
@@ -216,12 +232,12 @@ def build(points: DataFrame, k: int = 4096, iterations: int = 20, districts: int
 
 def fixed_centroids(points: DataFrame, k: int) -> np.ndarray:
     """The codes of the k points of lowest id: centroids that any engine can reproduce."""
-    return np.array([r["codes"] for r in points.orderBy("ref_id").limit(k).select("codes").collect()], np.float64)
+    return np.array([r["codes"] for r in points.filter(whole()).orderBy("ref_id").limit(k).select("codes").collect()], np.float64)
 
 
 def widest_dimension(points: DataFrame, by: str) -> DataFrame:
     """(by, dim, width): the dimension of largest range of each group, the lowest among equals."""
-    dim = len(points.first()["codes"])
+    dim = _width(points, "codes")
     ranges = points.groupBy(by).agg(*[(F.max(F.col("codes")[i]) - F.min(F.col("codes")[i])).alias(f"r{i}") for i in range(dim)])
     best = F.array_max(F.array(*[F.struct(F.col(f"r{i}").alias("width"), F.lit(-i).alias("i")) for i in range(dim)]))
     return ranges.select(by, (-best["i"]).cast("bigint").alias("dim"), best["width"].cast("bigint").alias("width"))

@@ -3,7 +3,11 @@
 Queries are (qid, codes), points (ref_id, is_fraud, codes). All variants order by (d2, ref_id), so
 every exact one returns the same rows. Distances are computed block by block in numpy from Arrow
 columns: each task holds a bounded block of points and of queries and hands on k rows per query,
-which a window with a partial limit merges. Tables of cells are broadcast only up to MAX_CELLS.
+which a window with a partial limit merges. Tables of cells are broadcast; the builder makes
+MAX_CELLS of them at most, however many points there are.
+
+Rows whose codes are null or hold a null take no part: as a query they have no neighbours, as a
+point they are none. Codes of different lengths in one search are an error.
 """
 
 from __future__ import annotations
@@ -15,38 +19,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecscore.functions.distance import box_bounds, least, pairwise, pairwise_doubles, squared
+from vecscore.functions.distance import box_bounds, least, pairwise, pairwise_doubles
 from vecscore.functions.quantize import signature_bound, signature_of_codes
 from vecscore.schema import NEIGHBOURS
+from vecscore.sources.store import staged
 
 #: Points and queries of one task at most, on average; cells whose table may be broadcast.
 BLOCK, QUERY_BLOCK, MAX_CELLS = 20_000, 5_000, 65_536
+#: Numbers that a task's table of (query, cell) bounds may have at a time.
+TILE = 2_000_000
 FOUND = "qid bigint, ref_id bigint, is_fraud boolean, d2 bigint"
 
 
+def whole(codes: str = "codes") -> Column:
+    """Whether codes can be compared."""
+    return F.col(codes).isNotNull() & ~F.exists(codes, lambda x: x.isNull())
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of equally long lists as a matrix."""
+    """Rows of equally long lists as a matrix; raises ValueError for other rows."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
 
+def _search(k: int, exclude_self: bool, tile: int = 512, doubles: bool = False, gaps: bool = False) -> Callable:
+    """The kernel of a pair of blocks.
+
+    gaps: queries come with dcell2 and worst, points with radius. Points whose distance to the cell's
+    centroid differs from the query's by more than the square root of worst are left out, and
+    the first row of each query says how many points it was compared with in this block.
+    """
 
-def _search(k: int, exclude_self: bool, tile: int = 512, doubles: bool = False) -> Callable:
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
-        names = ["qid", "ref_id", "is_fraud", "d2"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.float64() if doubles else pa.int64()]
+        names = ["qid", "ref_id", "is_fraud", "d2"] + ["compared"] * gaps
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.float64() if doubles else pa.int64()] + [pa.int64()] * gaps
         if not len(queries) or not len(points):
             return pa.table([pa.array([], t) for t in kinds], names=names)
         q, p = matrix(queries["codes"]), matrix(points["codes"])
+        if q.shape[1] != p.shape[1]:
+            raise ValueError("vectors of different lengths")
         qid, ids, fraud = queries["qid"].to_numpy(), points["ref_id"].to_numpy(), points["is_fraud"].to_numpy(zero_copy_only=False)
         parts = []
         for a in range(0, len(q), tile):
-            same = qid[a : a + tile][:, None] == ids[None] if exclude_self else None
-            d = pairwise_doubles(q[a : a + tile], p, k, same) if doubles else pairwise(q[a : a + tile], p)
+            here = slice(a, a + tile)
+            same = qid[here, None] == ids[None] if exclude_self else None
+            d = pairwise_doubles(q[here], p, k, same) if doubles else pairwise(q[here], p)
             if exclude_self:
                 d[same] = np.inf
+            if gaps:
+                worst = queries["worst"].to_numpy().astype(np.float64)[here, None]
+                gap = np.abs(np.sqrt(queries["dcell2"].to_numpy()[here, None]) - points["radius"].to_numpy()[None])
+                # A millionth above: square roots are rounded, ties must stay.
+                d[gap > np.where(np.isnan(worst), np.inf, np.sqrt(worst) + 1e-6)] = np.inf
             rows, cols = least(d, ids, k)
-            parts.append((qid[a + rows], ids[cols], fraud[cols], d[rows, cols] if doubles else d[rows, cols].astype(np.int64)))
+            more = (np.where(np.diff(rows, prepend=-1) > 0, np.isfinite(d).sum(1)[rows], 0),) if gaps else ()
+            parts.append((qid[a + rows], ids[cols], fraud[cols], d[rows, cols] if doubles else d[rows, cols].astype(np.int64), *more))
         return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -72,6 +104,7 @@ def brute(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_se
 
     doubles: codes are doubles, and so is d2.
     """
+    queries, points = queries.filter(whole()), points.filter(whole())
     q_block, n_q = _blocks(queries, "qid", query_block)
     p_block, n_p = _blocks(points, "ref_id", block)
     left = queries.select("qid", "codes", q_block.alias("qb")).withColumn("pb", _each(n_p))
@@ -80,63 +113,99 @@ def brute(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_se
     return ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(_search(k, exclude_self, doubles=doubles), FOUND.replace("d2 bigint", "d2 double") if doubles else FOUND), k)
 
 
-def within_cells(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+def within_cells(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, block: int = BLOCK, query_block: int = QUERY_BLOCK, gaps: bool = False) -> DataFrame:
     """The k nearest within each cell for queries that come with one (qid, codes, cell); unranked.
 
-    Cells of more than `block` points are dealt over several tasks, each of which sees the cell's
-    queries.
+    A cell of more than `block` points is dealt over several tasks, each of which sees the cell's
+    queries; one that more than `query_block` queries ask likewise. Queries are read twice, once
+    to count them, so they should come from a table. gaps: see _search().
     """
-    chunks = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    left = queries.select("qid", "codes", "cell").join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = points.select("ref_id", "is_fraud", "codes", "cell").join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("ref_id"), F.col("chunks")).cast("int"))
-    left, right = left.select("cell", "chunk", "qid", "codes"), right.select("cell", "chunk", "ref_id", "is_fraud", "codes").toDF("cell", "chunk", "ref_id", "is_fraud", "codes")
-    return left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(_search(k, exclude_self), FOUND)
+    queries, points = queries.filter(whole()), points.filter(whole())
+    parts = lambda n: F.ceil(F.count(F.lit(1)) / n).cast("int")
+    shape = points.groupBy("cell").agg(parts(block).alias("chunks")).join(queries.groupBy("cell").agg(parts(query_block).alias("sides")), "cell")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(shape, "cell").withColumn("side", own("qid", "sides")).withColumn("chunk", each("chunks")).select("cell", "chunk", "side", "qid", "codes", *["dcell2", "worst"] * gaps)
+    # Named anew, as both sides may come from one frame.
+    names = ["cell", "chunk", "side", "ref_id", "is_fraud", "codes", *["radius"] * gaps]
+    right = points.join(shape, "cell").withColumn("chunk", own("ref_id", "chunks")).withColumn("side", each("sides")).select(names).toDF(*names)
+    keys = ("cell", "chunk", "side")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k, exclude_self, gaps=gaps), FOUND + ", compared bigint" * gaps)
 
 
 class CellTable:
-    """The cells' centroids and boxes on the driver, ready to be broadcast."""
+    """The cells' centroids and boxes on the driver, and the boxes of their districts, ready to be broadcast."""
 
     def __init__(self, cells: DataFrame):
         n = cells.count()
         if n > MAX_CELLS:
-            raise ValueError(f"{n} cells: more than {MAX_CELLS} are not broadcast; build fewer, larger ones")
+            raise ValueError(f"{n} cells: more than {MAX_CELLS} are not broadcast; build() makes fewer, larger ones")
         rows = cells.orderBy("cell").collect()
         self.cell = np.array([r["cell"] for r in rows], np.int64)
         self.n = np.array([r["n"] for r in rows], np.int64)
-        self.centroid, self.lo, self.hi = (np.array([r[x] for r in rows], np.float64) for x in ("centroid", "lo", "hi"))
+        dim = len(rows[0]["lo"]) if rows else 0
+        self.centroid, self.lo, self.hi = (np.array([r[x] for r in rows], np.float64).reshape(n, dim) for x in ("centroid", "lo", "hi"))
         self.district = np.array([r["district"] for r in rows], np.int64) if "district" in cells.columns else np.zeros(n, np.int64)
+        self.districts, self.place = np.unique(self.district, return_inverse=True)
+        boxes = lambda x, least: np.array([least(x[self.place == i], axis=0) for i in range(len(self.districts))]).reshape(len(self.districts), dim)
+        self.district_lo, self.district_hi, self.centre = boxes(self.lo, np.min), boxes(self.hi, np.max), boxes(self.centroid, np.mean)
+
+    def bounds(self, q: np.ndarray, worst: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first query, cell indexes, least distances to their boxes) for a few queries at a time, infinite above a query's worst.
+
+        Boxes of districts are looked at first: cells of a district that no query of the few can have
+        a neighbour in are not.
+        """
+        few = max(1, TILE // max(1, len(self.cell)))
+        for a in range(0, len(q), few):
+            part, limit = q[a : a + few], worst[a : a + few, None]
+            near = box_bounds(part, self.district_lo, self.district_hi) <= limit
+            at = np.flatnonzero(near.any(0)[self.place])
+            b = box_bounds(part, self.lo[at], self.hi[at])
+            b[(b > limit) | ~near[:, self.place[at]]] = np.inf
+            yield a, at, b
 
 
 def _route(queries: DataFrame, table: CellTable, choose: Callable, extra: str = "", columns: tuple = ()) -> DataFrame:
-    """Rows (qid, codes, cell, *extra) that choose(codes, table, columns) gives: (row, cell index, extra arrays)."""
+    """Rows (qid, codes, cell, *extra) that choose(codes, table, columns) yields: (rows, cell indexes, extra arrays), in pieces."""
     shared = queries.sparkSession.sparkContext.broadcast(table)
     names = [x.split()[0] for x in extra.split(", ")] if extra else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = shared.value
-            rows, at, *more = choose(matrix(batch.column(1)), t, [batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(t.cell[at], pa.int64()), *[pa.array(x) for x in more]], names=["qid", "codes", "cell", *names])
+            if not len(batch) or not len(t.cell):
+                continue
+            for rows, at, *more in choose(matrix(batch.column(1)).astype(np.float64), t, [batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(columns))]):
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(t.cell[at], pa.int64()), *[pa.array(x) for x in more]], names=["qid", "codes", "cell", *names])
+
+    return queries.filter(whole()).select("qid", "codes", *columns).mapInArrow(run, "qid bigint, codes array<int>, cell bigint" + (f", {extra}" if extra else ""))
+
 
-    return queries.select("qid", "codes", *columns).mapInArrow(run, "qid bigint, codes array<int>, cell bigint" + (f", {extra}" if extra else ""))
+def _cell_distances(q: np.ndarray, t: CellTable) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, squared distances to all centroids) for a few queries at a time; exact for integer centroids."""
+    few, squares = max(1, TILE // max(1, len(t.cell))), (t.centroid**2).sum(1)
+    for a in range(0, len(q), few):
+        part = q[a : a + few]
+        yield a, (part**2).sum(1)[:, None] + squares[None] - 2 * (part @ t.centroid.T)
 
 
 def nearest_cell(queries: DataFrame, table: CellTable) -> DataFrame:
     """(qid, codes, cell, dcell2): the nearest centroid of each, the lowest cell among equals."""
 
-    def choose(q: np.ndarray, t: CellTable, _: list) -> tuple:
-        d = ((q[:, None].astype(np.float64) - t.centroid[None]) ** 2).sum(2) if len(q) * t.centroid.size < 1 << 24 else np.stack([((x - t.centroid) ** 2).sum(1) for x in q.astype(np.float64)])
-        at = d.argmin(1)
-        return np.arange(len(q)), at, d[np.arange(len(q)), at]
+    def choose(q: np.ndarray, t: CellTable, _: list) -> Iterator[tuple]:
+        for a, d in _cell_distances(q, t):
+            at, rows = d.argmin(1), a + np.arange(len(d))
+            yield rows, at, ((q[rows] - t.centroid[at]) ** 2).sum(1)
 
     return _route(queries, table, choose, "dcell2 double")
 
 
 def seeds(queries: DataFrame, points: DataFrame, table: CellTable, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
-    """What the queries' own cells hold, and (qid, codes, cell, worst): the k-th distance there, null if there are fewer."""
-    start = nearest_cell(queries, table)
-    found = within_cells(start, points, k, exclude_self)
+    """What the queries' own cells hold, and (qid, codes, own, worst): the k-th distance there, null if there are fewer."""
+    start = staged(nearest_cell(queries, table))
+    found = staged(within_cells(start, points, k, exclude_self))
     worst = ranked(found, k).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("worst"))
     return found, start.join(worst, "qid", "left").select("qid", "codes", F.col("cell").alias("own"), "worst")
 
@@ -144,11 +213,11 @@ def seeds(queries: DataFrame, points: DataFrame, table: CellTable, k: int, exclu
 def surviving(bounded: DataFrame, table: CellTable) -> DataFrame:
     """(qid, codes, cell, bound): cells but the query's own whose box may hold a neighbour. A bound equal to the worst stays: a tie may be won."""
 
-    def choose(q: np.ndarray, t: CellTable, given: list) -> tuple:
+    def choose(q: np.ndarray, t: CellTable, given: list) -> Iterator[tuple]:
         worst = np.where(np.isnan(given[1].astype(np.float64)), np.inf, given[1].astype(np.float64))
-        b = box_bounds(q, t.lo, t.hi)
-        rows, at = np.nonzero((b <= worst[:, None]) & (t.cell[None] != given[0][:, None]))
-        return rows, at, b[rows, at].astype(np.int64)
+        for a, at, b in t.bounds(q, worst):
+            rows, cols = np.nonzero(np.isfinite(b) & (t.cell[at][None] != given[0][a : a + len(b), None]))
+            yield a + rows, at[cols], b[rows, cols].astype(np.int64)
 
     return _route(bounded, table, choose, "bound bigint", ("own", "worst"))
 
@@ -157,34 +226,30 @@ def pruned(queries: DataFrame, points: DataFrame, cells: DataFrame, k: int = NEI
     """The same rows as brute(), by search of the own cell, then of those cells whose boxes reach within its k-th distance."""
     table = CellTable(cells)
     found, bounded = seeds(queries, points, table, k, exclude_self)
-    more = within_cells(surviving(bounded, table).drop("bound"), points, k, exclude_self)
+    more = within_cells(staged(surviving(bounded, table).drop("bound")), points, k, exclude_self)
     return ranked(found.unionByName(more), k)
 
 
 def nprobe(queries: DataFrame, points: DataFrame, cells: DataFrame, districts: int | None, probes: int, k: int = NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
     """Approximate: the `probes` nearest cells of the `districts` nearest districts (None: of all)."""
-    return ranked(within_cells(probe_cells(queries, cells, districts, probes).drop("dcell2"), points, k, exclude_self), k)
+    return ranked(within_cells(staged(probe_cells(queries, cells, districts, probes).drop("dcell2")), points, k, exclude_self), k)
 
 
 def probe_cells(queries: DataFrame, cells: DataFrame, districts: int | None, probes: int) -> DataFrame:
     """(qid, codes, cell, dcell2); a district's centre is the mean of its cells' centroids."""
-    table = CellTable(cells)
-    names = np.unique(table.district)
-    centres = np.array([table.centroid[table.district == x].mean(0) for x in names])
-
-    def choose(q: np.ndarray, t: CellTable, _: list) -> tuple:
-        q = q.astype(np.float64)
-        d = np.stack([((x - t.centroid) ** 2).sum(1) for x in q]) if len(q) else np.zeros((0, len(t.cell)))
-        if districts is not None and len(q):
-            far = np.stack([((x - centres) ** 2).sum(1) for x in q])
-            rows, cols = least(far, names, districts)
-            near = np.zeros(far.shape, bool)
-            near[rows, cols] = True
-            d = np.where(near[:, np.searchsorted(names, t.district)], d, np.inf)
-        rows, at = least(d, t.cell, probes)
-        return rows, at, d[rows, at]
 
-    return _route(queries, table, choose, "dcell2 double")
+    def choose(q: np.ndarray, t: CellTable, _: list) -> Iterator[tuple]:
+        for a, d in _cell_distances(q, t):
+            if districts is not None:
+                far = np.stack([((x - t.centre) ** 2).sum(1) for x in q[a : a + len(d)]])
+                rows, cols = least(far, t.districts, districts)
+                near = np.zeros(far.shape, bool)
+                near[rows, cols] = True
+                d = np.where(near[:, t.place], d, np.inf)
+            rows, at = least(d, t.cell, probes)
+            yield a + rows, at, ((q[a + rows] - t.centroid[at]) ** 2).sum(1)
+
+    return _route(queries, CellTable(cells), choose, "dcell2 double")
 
 
 def radius_pruned(queries: DataFrame, points: DataFrame, cells: DataFrame, probes: int, k: int = NEIGHBOURS, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -192,49 +257,55 @@ def radius_pruned(queries: DataFrame, points: DataFrame, cells: DataFrame, probe
 
     Returns the ranked rows and (qid, compared): how many points were left to compare.
     """
-    own = CellTable(cells)
-    worst = seeds(queries, points, own, k, exclude_self)[1].select("qid", "worst")
-    probed = probe_cells(queries, cells, None, probes).join(worst, "qid").withColumnRenamed("codes", "q")
-    pairs = probed.join(points.select("ref_id", "is_fraud", "codes", "cell", "radius"), "cell")
-    gap = F.abs(F.sqrt("dcell2") - F.col("radius"))
-    # A millionth above: square roots are rounded, ties must stay.
-    pairs = pairs.filter(F.col("worst").isNull() | (gap <= F.sqrt(F.col("worst").cast("double")) + 1e-6))
-    if exclude_self:
-        pairs = pairs.filter("qid <> ref_id")
-    found = pairs.select("qid", "ref_id", "is_fraud", squared(F.col("q"), F.col("codes")).alias("d2"))
-    compared = queries.select("qid").join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("compared")), "qid", "left").select("qid", F.coalesce("compared", F.lit(0)).alias("compared"))
-    return ranked(found, k), compared
+    worst = seeds(queries, points, CellTable(cells), k, exclude_self)[1].select("qid", "worst")
+    probed = staged(probe_cells(queries, cells, None, probes).join(worst, "qid"))
+    found = staged(within_cells(probed, points, k, exclude_self, gaps=True))
+    compared = queries.select("qid").join(found.groupBy("qid").agg(F.sum("compared").alias("compared")), "qid", "left").select("qid", F.coalesce("compared", F.lit(0)).alias("compared"))
+    return ranked(found.drop("compared"), k), compared
 
 
 def visits(queries: DataFrame, points: DataFrame, cells: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
-    """(qid, cell, bound, n, before): cells in best-first order (bound, cell) up to the exact k-th distance; before: points of earlier cells."""
+    """(qid, codes, cell, bound, before): cells in best-first order (bound, cell) up to the exact k-th distance; before: points of earlier cells."""
     exact = pruned(queries, points, cells, k, exclude_self).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("worst"))
-    bounded = queries.join(exact, "qid", "left").select("qid", "codes", F.lit(-1).cast("bigint").alias("own"), "worst")
-    return visit_order(surviving(bounded, CellTable(cells)), cells)
+    return best_first(queries.join(exact, "qid", "left").select("qid", "codes", "worst"), CellTable(cells))
+
+
+def best_first(bounded: DataFrame, table: CellTable, cap: int | None = None) -> DataFrame:
+    """(qid, codes, cell, bound, before) from (qid, codes, worst): cells in order of their bounds while these do not exceed worst and, with a cap, fewer than `cap` points lie before."""
+
+    def choose(q: np.ndarray, t: CellTable, given: list) -> Iterator[tuple]:
+        worst = np.where(np.isnan(given[0].astype(np.float64)), np.inf, given[0].astype(np.float64))
+        for a, at, b in t.bounds(q, worst):
+            order = np.argsort(b, axis=1, kind="stable")
+            n = t.n[at][order]
+            before = np.cumsum(n, axis=1) - n
+            rows, cols = np.nonzero(np.isfinite(np.take_along_axis(b, order, 1)) & (before < (np.inf if cap is None else cap)))
+            yield a + rows, at[order[rows, cols]], b[rows, order[rows, cols]].astype(np.int64), before[rows, cols]
+
+    return _route(bounded, table, choose, "bound bigint, before bigint", ("worst",))
 
 
-def visit_order(candidates: DataFrame, cells: DataFrame) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy("bound", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    return candidates.join(cells.select("cell", "n"), "cell").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint"))
+def capped_cells(queries: DataFrame, cells: DataFrame, cap: int) -> DataFrame:
+    """The cells that capped() scans."""
+    return best_first(queries.select("qid", "codes", F.lit(None).cast("bigint").alias("worst")), CellTable(cells), cap)
 
 
 def capped(queries: DataFrame, points: DataFrame, cells: DataFrame, cap: int, k: int = NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
     """Approximate: cells in order of their bounds, until `cap` points or more have been scanned."""
-    everywhere = queries.select("qid", "codes", F.lit(-1).cast("bigint").alias("own"), F.lit(None).cast("bigint").alias("worst"))
-    chosen = visit_order(surviving(everywhere, CellTable(cells)), cells).filter(F.col("before") < cap)
-    return ranked(within_cells(chosen, points, k, exclude_self), k)
+    return ranked(within_cells(staged(capped_cells(queries, cells, cap)), points, k, exclude_self), k)
 
 
 def by_signature(queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
     """Exact, with the 16 signatures as cells: the own bucket first, then those whose bound is within its k-th distance.
 
-    Only for codes whose flags are 0 or SCALE; else the bound doesn't hold.
+    Only for codes whose flags are 0 or SCALE; else the bound doesn't hold. Points may come laid out
+    by signature (store.load_buckets(), column sig).
     """
-    places = points.withColumn("cell", signature_of_codes(F.col("codes")).cast("bigint"))
-    own = queries.withColumn("cell", signature_of_codes(F.col("codes")).cast("bigint"))
-    found = within_cells(own, places, k, exclude_self)
+    places = points.withColumn("cell", (F.col("sig") if "sig" in points.columns else signature_of_codes(F.col("codes"))).cast("bigint"))
+    own = staged(queries.filter(whole()).select("qid", "codes", signature_of_codes(F.col("codes")).cast("bigint").alias("cell")))
+    found = staged(within_cells(own, places, k, exclude_self))
     worst = ranked(found, k).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("worst"))
     other = own.join(worst, "qid", "left").withColumn("sig", F.explode(F.sequence(F.lit(0), F.lit(15)))).filter("sig <> cell")
     other = other.filter(F.col("worst").isNull() | (signature_bound(F.col("cell").cast("int"), F.col("sig")) <= F.col("worst")))
-    more = within_cells(other.select("qid", "codes", F.col("sig").cast("bigint").alias("cell")), places, k, exclude_self)
+    more = within_cells(staged(other.select("qid", "codes", F.col("sig").cast("bigint").alias("cell"))), places, k, exclude_self)
     return ranked(found.unionByName(more), k)

@@ -9,8 +9,8 @@ from vecscore.sources.store import staged
 
 
 def seeded(df: DataFrame, key: list[str], n: int, seed: int = 1) -> DataFrame:
-    """n rows without replacement, those of the smallest seeded hashes; all, if there are no more."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """n rows without replacement, those of the smallest digests of seed and key: the same in any engine; all, if there are no more."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary")), *key).limit(n)
 
 
 def first(df: DataFrame, key: list[str], n: int) -> DataFrame:

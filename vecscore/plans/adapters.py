@@ -1,8 +1,9 @@
 """The driver's tables in the shape of the engine's inputs.
 
 embeddings: components are mapped from [-1, 1] to [0, 1]; labels below 3 count as fraud.
-events: an extension of ours. The engine's inputs hold aggregates (averages, counts, known
-merchants, last transaction); here they are computed from the event history.
+events: become transactions. Averages, counts, known merchants and the last transaction of a payload
+are computed from the event history; events of type error count as fraud. Features are the
+engine's own, taken from the payload's JSON text.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecscore.functions.features import clamp, hour_of, ratio, weekday_of
+from vecscore.functions.features import vectorize
 from vecscore.functions.quantize import codes, signature
-from vecscore.schema import SENTINEL
+from vecscore.schema import FRAUD_LABEL
+from vecscore.sources.json import parse_payload
 
-# Fixed values of the extension: risk by event type, else 0.5; the events before this day are references.
-RISK = {"click": 0.15, "view": 0.30, "purchase": 0.45, "signup": 0.80}
-DAY_US, CUT = 86_400_000_000, "2024-01-21"
+# The merchant category that an event type stands for; others have one without a risk of its own.
+MCC = {"click": "5411", "view": "5812", "purchase": "5944", "signup": "7801"}
+OTHER_MCC = "9999"
+DAY_US = 86_400_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,79 +41,67 @@ def event_micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 
 
+def mcc(kind: Column) -> Column:
+    table_ = F.create_map(*[F.lit(x) for pair in MCC.items() for x in pair])
+    return F.coalesce(F.element_at(table_, kind), F.lit(OTHER_MCC))
+
+
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, user_id, event_type, us, ac, k, seen, last): events with whole cents, merchant, and what was before."""
+    """(event_id, user_id, event_type, us, ac, k, seen, last, n24, average, k_average): events with whole cents and what was before.
+
+    Events without user or merchant are a group too. History is looked up per user and day (each
+    day with the one before it), so a user with very many events is spread over the days; what lies
+    further back comes from one row per user and day. Sums are aggregated before they are joined.
+    """
     b = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", event_micros("ts").alias("us"), F.round(F.col("value") * 100).cast("bigint").alias("ac"), F.get_json_object("props", "$.k").cast("int").alias("k"),
-    )
-    order = ("us", "event_id")
-    before = Window.partitionBy("user_id", "k").orderBy(*order)
-    return b.withColumn("seen", F.row_number().over(before) > 1).withColumn("last", F.lag("us").over(Window.partitionBy("user_id").orderBy(*order)))
+    ).withColumn("day", F.expr("us div 86400000000"))
+    two_days = b.withColumn("bucket", F.explode(F.array(F.col("day"), F.col("day") + 1)))
+    w = Window.partitionBy("user_id", "bucket")
+    near = two_days.withColumn("near", F.lag("us").over(w.orderBy("us", "event_id"))).withColumn("n24", F.count(F.lit(1)).over(w.orderBy("us").rangeBetween(-DAY_US, 0)))
+    near = near.filter("bucket = day").drop("bucket")
+    days = b.groupBy("user_id", "day").agg(F.max("us").alias("upto"))
+    days = days.select(F.col("user_id").alias("du"), F.col("day").alias("dd"), F.lag("upto").over(Window.partitionBy("user_id").orderBy("day")).alias("before"))
+    first = b.groupBy(F.col("user_id").alias("fu"), F.col("k").alias("fk")).agg(F.min(F.struct("us", "event_id")).alias("first"))
+    users = b.groupBy(F.col("user_id").alias("u")).agg((F.sum("ac") / F.count(F.lit(1)) / 100).alias("average"))
+    merchants = b.groupBy(F.col("k").alias("m")).agg((F.sum("ac") / F.count(F.lit(1)) / 100).alias("k_average"))
+    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+    rows = near.join(days, same("user_id", "du") & same("day", "dd")).join(first, same("user_id", "fu") & same("k", "fk")).join(users, same("user_id", "u")).join(merchants, same("k", "m"))
+    seen = F.struct("us", "event_id") > F.col("first")
+    return rows.select("event_id", "user_id", "event_type", "us", "ac", "k", seen.alias("seen"), F.coalesce("near", "before").alias("last"), "n24", "average", "k_average")
+
+
+def event_payloads(spark: SparkSession, sf_dir: str, cut: bool = True) -> DataFrame:
+    """(qid, event_type, value): events as JSON text of a payload; with `cut`, those of type error are cut short, so that they can't be read."""
+    b = event_base(spark, sf_dir)
+    iso = lambda us: F.date_format(F.expr(f"timestampadd(MICROSECOND, {us}, timestamp_ntz'1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    merchant = F.concat(F.lit("M"), F.coalesce(F.col("k").cast("string"), F.lit("")))
+    kind, real = F.col("event_type"), lambda m: (F.col("event_id") * m % 1000).cast("double")
+    body = F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("id"),
+        F.struct((F.col("ac") / 100.0).alias("amount"), (F.col("event_id") % 12 + 1).cast("int").alias("installments"), iso("us").alias("requested_at")).alias("transaction"),
+        F.struct(F.col("average").alias("avg_amount"), F.col("n24").cast("int").alias("tx_count_24h"), F.when(F.col("seen"), F.array(merchant)).otherwise(F.array().cast("array<string>")).alias("known_merchants")).alias("customer"),
+        F.struct(merchant.alias("id"), mcc(kind).alias("mcc"), F.col("k_average").alias("avg_amount")).alias("merchant"),
+        F.struct(kind.isin("click", "view").alias("is_online"), (kind == "purchase").alias("card_present"), real(7919).alias("km_from_home")).alias("terminal"),
+        F.when(F.col("last").isNotNull(), F.struct(iso("last").alias("timestamp"), real(31).alias("km_from_current"))).alias("last_transaction"),
+    ))
+    text = F.when(kind == "error", F.substring("b", 1, 40)).otherwise(F.col("b")) if cut else F.col("b")
+    return b.withColumn("b", body).select(F.col("event_id").alias("qid"), "event_type", text.alias("value"))
 
 
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, us, event_type, is_fraud, vector, codes, sig) of events.
-
-    Averages are sums and counts in cents, aggregated before they are joined; windows are per user.
-    """
-    b = event_base(spark, sf_dir)
-    day = Window.partitionBy("user_id").orderBy("us").rangeBetween(-DAY_US, 0)
-    users = b.groupBy(F.col("user_id").alias("user")).agg(F.sum("ac").alias("user_sum"), F.count(F.lit(1)).alias("user_n"))
-    merchants = b.groupBy(F.col("k").alias("merchant")).agg(F.sum("ac").alias("k_sum"), F.count(F.lit(1)).alias("k_n"))
-    # Events without user or merchant are a group too, as in windows.
-    w = b.withColumn("n24", F.count(F.lit(1)).over(day)).join(users, F.col("user_id").eqNullSafe(F.col("user"))).join(merchants, F.col("k").eqNullSafe(F.col("merchant")))
-    real = lambda x: x.cast("double")
-    mix = lambda m: real((F.col("event_id") * m) % 1000) / 1000
-    kind = F.col("event_type")
-    vector = F.array(
-        clamp(F.col("ac") / 100.0 / 10000),
-        clamp(real(F.col("event_id") % 12 + 1) / 12),
-        ratio(real(F.col("ac")), F.col("user_sum") / F.col("user_n"), 10.0),
-        hour_of(F.col("us")),
-        weekday_of(F.col("us")),
-        F.when(F.col("last").isNull(), SENTINEL).otherwise(clamp(F.floor((F.col("us") - F.col("last")) / 1_000_000).cast("double") / 60 / 1440)),
-        F.when(F.col("last").isNull(), SENTINEL).otherwise(mix(31)),
-        mix(7919),
-        clamp(F.col("n24") / 20.0),
-        kind.isin("click", "view").cast("double"),
-        (kind == "purchase").cast("double"),
-        F.when(F.col("seen"), 0.0).otherwise(1.0),
-        risk(kind),
-        clamp(F.col("k_sum") / F.col("k_n") / 100 / 10000),
-    )
-    rows = w.select("event_id", "us", "event_type", (kind == "error").alias("is_fraud"), vector.alias("vector"))
-    return rows.withColumn("codes", codes(F.col("vector"))).withColumn("sig", signature(F.col("vector")))
-
-
-def risk(kind: Column) -> Column:
-    table_ = F.create_map(*[F.lit(x) for pair in RISK.items() for x in pair])
-    return F.coalesce(F.element_at(table_, kind), F.lit(0.5))
-
-
-def event_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, points): events from CUT on are scored against those before it."""
-    rows = event_features(spark, sf_dir)
-    cut = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp_ntz'{CUT} 00:00:00')")
-    return rows.filter(F.col("us") >= cut).select(F.col("event_id").alias("qid"), "codes"), rows.filter(F.col("us") < cut).select(F.col("event_id").alias("ref_id"), "is_fraud", "codes")
+    """(event_id, event_type, is_fraud, vector, codes, sig) of all events, through the payload's text."""
+    rows = event_payloads(spark, sf_dir, cut=False).select(F.col("qid").alias("event_id"), "event_type", parse_payload(F.col("value")).alias("p")).select("event_id", "event_type", "p.*")
+    found = vectorize(rows).select("event_id", "event_type", (F.col("event_type") == "error").alias("is_fraud"), "vector")
+    return found.withColumn("codes", codes(F.col("vector"))).withColumn("sig", signature(F.col("vector")))
 
 
-def event_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def event_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(queries, points): every event is scored against all others; the search has to exclude the event itself."""
     rows = event_features(spark, sf_dir)
     return rows.select(F.col("event_id").alias("qid"), "codes"), rows.select(F.col("event_id").alias("ref_id"), "is_fraud", "codes")
 
 
-def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, value): events as JSON text of a payload; those of type error are cut short, so that they can't be read."""
-    b = event_base(spark, sf_dir)
-    iso = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    merchant = F.concat(F.lit("M"), F.col("k").cast("string"))
-    body = F.to_json(F.struct(
-        F.col("event_id").cast("string").alias("id"),
-        F.struct((F.col("ac") / 100.0).alias("amount"), (F.col("event_id") % 12 + 1).cast("int").alias("installments"), iso(F.col("us")).alias("requested_at")).alias("transaction"),
-        F.struct((F.col("user_id") + 1.0).alias("avg_amount"), F.lit(1).alias("tx_count_24h"), F.when(F.col("seen"), F.array(merchant)).otherwise(F.array().cast("array<string>")).alias("known_merchants")).alias("customer"),
-        F.struct(merchant.alias("id"), F.lit("5411").alias("mcc"), F.lit(60.25).alias("avg_amount")).alias("merchant"),
-        F.struct(F.col("event_type").isin("click", "view").alias("is_online"), (F.col("event_type") == "purchase").alias("card_present"), (F.col("event_id") % 1000).cast("double").alias("km_from_home")).alias("terminal"),
-        F.when(F.col("last").isNotNull(), F.struct(iso(F.col("last")).alias("timestamp"), F.lit(12.5).alias("km_from_current"))).alias("last_transaction"),
-    ))
-    return b.withColumn("b", body).select(F.col("event_id").alias("qid"), F.when(F.col("event_type") == "error", F.substring("b", 1, 40)).otherwise(F.col("b")).alias("value"))
+def event_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vector, label) of events, as a file of labelled references has them."""
+    return event_features(spark, sf_dir).select("vector", F.when(F.col("is_fraud"), FRAUD_LABEL).otherwise("legit").alias("label"))

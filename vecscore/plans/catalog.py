@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecscore.functions.distance import squared
-from vecscore.functions.quantize import signature_bound, signature_of_codes
+from vecscore.functions.features import risk_of, vectorize
+from vecscore.functions.quantize import signature_bound
 from vecscore.operators import evaluate, index, knn, metrics, sampling
 from vecscore.operators.vote import vote
 from vecscore.plans import adapters
 from vecscore.sources import json, store, synth
-from vecscore.streaming.score import score_text
+from vecscore.streaming.score import score_payloads, score_stream, score_text
 
 FIXED_CELLS, DISTRICTS, PROBES, CAP = 16, 4, 4, 100
 
@@ -62,6 +63,15 @@ def q_knn_pruned_exact(spark, sf_dir):
     return _rows(knn.pruned(adapters.as_queries(points), placed, cells, exclude_self=True))
 
 
+def q_pruned_vote_score(spark, sf_dir):
+    """Exact votes by pruned search in a stored index."""
+    points = adapters.embedding_points(spark, sf_dir).select("ref_id", "is_fraud", "codes")
+    path = store.new_path(spark)
+    store.save_index(*index.build(points, k=32, iterations=5, districts=8, cap=512), path)
+    queries = adapters.as_queries(points)
+    return vote(knn.pruned(queries, *store.load_index(spark, path), exclude_self=True), queries).select("qid", "n_fraud", "fraud_score", "approved")
+
+
 def q_cell_assign(spark, sf_dir):
     placed, _, _ = _fixed(spark, sf_dir)
     return placed.select(F.col("ref_id").alias("vec_id"), "cell", F.round(F.col("radius") * F.col("radius")).cast("bigint").alias("d2"))
@@ -120,7 +130,7 @@ def q_capped_knn(spark, sf_dir):
 def q_best_first_work(spark, sf_dir):
     placed, cells, centroids = _fixed(spark, sf_dir)
     seen = knn.visits(adapters.as_queries(placed), placed, cells, exclude_self=True)
-    return metrics.work(seen, cells, len(centroids)).select("qid", "cells", "points", "cost")
+    return metrics.work(seen.select("qid", "cell"), cells, len(centroids)).select("qid", "cells", "points", "cost")
 
 
 def q_box_survivors(spark, sf_dir):
@@ -151,6 +161,42 @@ def q_probe_sweep(spark, sf_dir):
     return evaluate.sweep(queries, variants, gold).select("variant", "n", "fp", "fn", "flips", "e")
 
 
+def _sweep(spark, sf_dir, variants):
+    """Errors and work of variants (placed, cells, queries -> name -> visited cells) against the exact decisions."""
+    placed, cells, _ = _fixed(spark, sf_dir)
+    placed, cells = store.staged(placed), store.staged(cells)
+    queries = adapters.as_queries(placed)
+    gold = evaluate.gold(queries, knn.brute(queries, placed, exclude_self=True), spark, store.new_path(spark))
+    return evaluate.sweep_cells(queries, placed, cells, variants(placed, cells, queries), gold, exclude_self=True).select("variant", "n", "fp", "fn", "flips", "e", "points")
+
+
+def q_budget_sweep(spark, sf_dir):
+    """Work caps of the search by cells in order of their bounds."""
+    return _sweep(spark, sf_dir, lambda placed, cells, queries: {str(b): knn.capped_cells(queries, cells, b) for b in (50, 200, 800)})
+
+
+def q_two_level_sweep(spark, sf_dir):
+    """Numbers of districts and of cells that two-level probing visits."""
+    return _sweep(spark, sf_dir, lambda placed, cells, queries: {f"{a}-{b}": knn.probe_cells(queries, cells, a, b) for a, b in ((1, 2), (2, 2), (2, 4), (4, 8))})
+
+
+def q_mode_sweep(spark, sf_dir):
+    """Exact search in its two orders, probing, and the work cap."""
+
+    def modes(placed, cells, queries):
+        table = knn.CellTable(cells)
+        _, bounded = knn.seeds(queries, placed, table, 5, True)
+        own = bounded.select("qid", "codes", F.col("own").alias("cell"))
+        return {
+            "exact": own.union(knn.surviving(bounded, table).select("qid", "codes", "cell")),
+            "best-first": knn.visits(queries, placed, cells, exclude_self=True),
+            "probes": knn.probe_cells(queries, cells, None, PROBES),
+            "capped": knn.capped_cells(queries, cells, CAP),
+        }
+
+    return _sweep(spark, sf_dir, modes)
+
+
 def q_percentiles(spark, sf_dir):
     points = adapters.embedding_points(spark, sf_dir)
     first = knn.brute(adapters.as_queries(points), points, exclude_self=True).filter("rank = 1")
@@ -184,33 +230,44 @@ def q_signature_bounds(spark, sf_dir):
 
 def q_mcc_lookup_default(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("risk", adapters.risk(F.col("event_type")))
+    return rows.withColumn("risk", risk_of(adapters.mcc(F.col("event_type"))))
 
 
 def q_known_merchant_flag(spark, sf_dir):
-    return adapters.event_base(spark, sf_dir).select("event_id", F.when(F.col("seen"), 0).otherwise(1).alias("unknown"))
+    return adapters.event_features(spark, sf_dir).select("event_id", F.col("vector")[11].cast("int").alias("unknown"))
 
 
-def q_signature_prune_knn(spark, sf_dir):
-    queries, points = adapters.event_split(spark, sf_dir)
-    return _rows(knn.by_signature(queries, points))
+def _event_search(spark, sf_dir):
+    """All events, and what is found among all others laid out by signature."""
+    queries, points = adapters.event_points(spark, sf_dir)
+    path = store.new_path(spark)
+    store.save_buckets(points, path)
+    buckets = store.load_buckets(spark, path)
+    queries = buckets.select(F.col("ref_id").alias("qid"), "codes")
+    return queries, knn.by_signature(queries, buckets, exclude_self=True)
 
 
-def q_event_votes(spark, sf_dir):
-    queries, points = adapters.event_split(spark, sf_dir)
-    return vote(knn.by_signature(queries, points), queries).select("qid", "n_fraud", "fraud_score", "approved")
+def q_signature_prune_knn(spark, sf_dir):
+    return _rows(_event_search(spark, sf_dir)[1])
 
 
-def q_signature_prune_knn_all(spark, sf_dir):
-    """q_signature_prune_knn without the date of its SQL: all events searched among all others."""
-    queries, points = adapters.event_all(spark, sf_dir)
-    return _rows(knn.by_signature(queries, points, exclude_self=True))
+def q_event_votes(spark, sf_dir):
+    queries, found = _event_search(spark, sf_dir)
+    return vote(found, queries).select("qid", "n_fraud", "fraud_score", "approved")
 
 
-def q_event_votes_all(spark, sf_dir):
-    """q_event_votes without the date of its SQL: votes of all other events on every event."""
-    queries, points = adapters.event_all(spark, sf_dir)
-    return vote(knn.by_signature(queries, points, exclude_self=True), queries).select("qid", "n_fraud", "fraud_score", "approved")
+def q_evaluate_payloads(spark, sf_dir):
+    """A file of labelled payloads read, scored against all other events, and judged."""
+    payloads = adapters.event_payloads(spark, sf_dir, cut=False)
+    path = store.new_path(spark)
+    entry = F.concat(F.lit('{"entries":[{"expected_approved":'), (F.col("event_type") != "error").cast("string"), F.lit(',"request":'), F.col("value"), F.lit("}]}"))
+    payloads.select(entry.alias("value")).write.text(path)
+    labelled = store.staged(json.read_evaluation(spark, path, multi_line=False).withColumn("qid", F.col("id").cast("bigint")))
+    _, points = adapters.event_points(spark, sf_dir)
+    points = store.staged(points)
+    scored = score_payloads(labelled, lambda q: knn.by_signature(q, points, exclude_self=True))
+    found = metrics.confusion(scored, labelled.select("qid", F.col("expected_approved").alias("approved")))
+    return found.select("n", "fp", "fn", "flips", "e", "fail_rate", "eps", F.round("det_score", 6).alias("det_score"))
 
 
 def q_widest_dimension(spark, sf_dir):
@@ -243,25 +300,31 @@ def q_seeded_sample(spark, sf_dir):
 
 
 def q_kmeans_build(spark, sf_dir):
+    """What must hold of any index: all points are in a cell, offsets follow the counts, no more cells than asked for."""
     points = adapters.embedding_points(spark, sf_dir).select("ref_id", "is_fraud", "codes")
-    _, cells = index.build(points, k=32, iterations=10, districts=8, cap=4096)
-    return cells.select("cell", "district", "n", "first")
+    placed, cells = index.build(points, k=32, iterations=10, districts=8, cap=4096)
+    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    rows = cells.join(counted, "cell", "full")
+    fit = (F.max(F.col("first") + F.col("n")) == F.sum("n")) & (F.min("first") == 0) & F.bool_and(F.coalesce(F.col("n") == F.col("m"), F.lit(False)))
+    return rows.agg(F.sum("n").alias("points"), fit.alias("offsets_fit"), (F.count(F.lit(1)) <= 32).alias("bounded"))
 
 
 def q_split_cells(spark, sf_dir):
-    points = adapters.embedding_points(spark, sf_dir).select("ref_id", "is_fraud", "codes")
+    """Large cells split: all points are in one of the more cells."""
+    points = store.staged(adapters.embedding_points(spark, sf_dir).select("ref_id", "is_fraud", "codes"))
     centroids = index.split_large(points, index.kmeans(points, 8, 5), 50)
-    return index.assign(points, centroids).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = index.assign(points, centroids).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.sum("n").alias("points"), (F.count(F.lit(1)) > 8).alias("more_cells"))
 
 
 def q_synth_profiles(spark, sf_dir):
-    """As many synthetic transactions as there are events, with their codes' signature by profile."""
-    from vecscore.functions.features import vectorize
-    from vecscore.functions.quantize import codes
-
+    """As many synthetic transactions as there are events: profiles, values outside their profile's ranges, payloads without a vector."""
     n = adapters.table(spark, sf_dir, "events").count()
-    rows = vectorize(synth.generate(spark, n)).select("profile", codes(F.col("vector")).alias("c"))
-    return rows.groupBy("profile", signature_of_codes(F.col("c")).alias("sig")).agg(F.count(F.lit(1)).alias("n"))
+    rows = vectorize(synth.generate(spark, n))
+    of = lambda table_: F.when(F.col("profile") == "legit", F.array(*map(F.lit, table_[0]))).when(F.col("profile") == "fraud", F.array(*map(F.lit, table_[1]))).otherwise(F.array(*map(F.lit, table_[2])))
+    fits = lambda x, table_, upto=0: F.col(x).between(of(table_)[0], of(table_)[1] - upto)
+    good = fits("transaction.amount", synth.AMOUNT) & fits("transaction.installments", synth.INSTALLMENTS, 1) & fits("customer.tx_count_24h", synth.COUNT, 1) & fits("merchant.avg_amount", synth.MERCHANT) & fits("terminal.km_from_home", synth.HOME) & F.array_contains(of(synth.MCC), F.col("merchant.mcc"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("profile").alias("profiles"), F.count_if(~good).alias("out_of_range"), F.count_if(F.col("vector").isNull()).alias("without_vector"))
 
 
 def q_payload_round_trip(spark, sf_dir):
@@ -272,18 +335,17 @@ def q_payload_round_trip(spark, sf_dir):
 
 def q_fallback_scoring(spark, sf_dir):
     """Payload text scored in a batch against all other events; unreadable rows are approved with 0."""
-    _, points = adapters.event_all(spark, sf_dir)
-    found = score_text(adapters.event_payloads(spark, sf_dir), lambda q: knn.by_signature(q, points, exclude_self=True))
+    _, points = adapters.event_points(spark, sf_dir)
+    points = store.staged(points)
+    found = score_text(store.staged(adapters.event_payloads(spark, sf_dir)), lambda q: knn.by_signature(q, points, exclude_self=True))
     return found.groupBy("n_fraud", "approved").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_stream_score(spark, sf_dir):
-    """Payload text scored as a stream of files against a stored index; the batches' results are read back."""
-    from vecscore.streaming.score import score_stream
-
+    """Payload text scored as a stream of files against a stored index of all events; the batches' results are read back."""
     base = store.new_path(spark)
     adapters.event_payloads(spark, sf_dir).select("value").write.parquet(base)
-    queries, points = adapters.event_split(spark, sf_dir)
+    _, points = adapters.event_points(spark, sf_dir)
     placed, cells = index.build(points, k=64, iterations=3, districts=8, cap=4096)
     store.save_index(placed, cells, f"{base}-index")
     score_stream(spark.readStream.schema("value string").parquet(base), f"{base}-index", lambda df, i: df.write.mode("overwrite").parquet(f"{base}-out/batch={i}"), f"{base}-checkpoint").awaitTermination()

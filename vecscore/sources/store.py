@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecscore.functions.quantize import signature_of_codes
+
 #: Version of the stored layout; readers refuse any other.
 FORMAT = 1
 
 
 def new_path(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share.
+    """A new path in the folder that all executors share: what spark.checkpoint.dir names.
 
-    That folder is spark.checkpoint.dir; where it is unset (one machine), one under /tmp.
+    Only a local session, whose executors are this machine, may leave the setting out; a cluster
+    without it is an error, as no folder of one machine would do.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/vecscore"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/vs-{uuid.uuid4().hex}"
 
 
@@ -33,6 +41,18 @@ def save_index(points: DataFrame, cells: DataFrame, path: str) -> None:
     cells.withColumn("format", F.lit(FORMAT)).write.mode("overwrite").parquet(f"{path}/cells")
 
 
+def save_buckets(points: DataFrame, path: str) -> None:
+    """Points (ref_id, is_fraud, codes) laid out by signature: a reader that asks for some signatures reads their folders alone."""
+    rows = points.withColumn("sig", signature_of_codes(F.col("codes")))
+    # Salted, so that a frequent signature is written by several tasks.
+    rows.repartition("sig", F.pmod(F.xxhash64("ref_id"), F.lit(8))).write.mode("overwrite").partitionBy("sig").parquet(path)
+
+
+def load_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_id, is_fraud, codes, sig) of save_buckets()."""
+    return spark.read.schema("ref_id bigint, is_fraud boolean, codes array<int>, sig int").parquet(path)
+
+
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """(points, cells), or None if there is no index of this format under path: not ready, never an error."""
     try:
