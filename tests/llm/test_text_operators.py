@@ -1,7 +1,9 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
+import re
 import time
 import zlib
 
@@ -202,6 +204,20 @@ def test_whole_text_shortcut_equals_viterbi():
         assert value(langid.label(Fake(), s, 4.0)) == pytest.approx(value(langid.viterbi(s, 4.0)))
 
 
+def test_viterbi_equals_all_paths():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        s, switch = r.integers(-6, 7, (r.integers(1, 7), 3)).astype(float), float(r.integers(0, 9))
+        value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - switch * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: E731,B023
+        assert value(langid.viterbi(s, switch).tolist()) == max(value(p) for p in itertools.product(range(3), repeat=len(s)))
+
+
+def test_marks_alone_are_no_letters(model):
+    got = langid.identify(["\u0301\u0308", "1 \u0301", "e\u0301te\u0301 maison", "İİİ дом это вода человек"], model, with_spans=True)
+    assert got["lang_pred"][:2] == ["und", "und"] and got["score"][:2] == [0.0, 0.0] and got["lang_pred"][2] == "fr"
+    assert got["spans"][3][-1]["stop"] == len("İİİ дом это вода человек")
+
+
 def test_language_documents(odd, model, spark):
     got = {r["doc_id"]: r for r in langid.identify_documents(odd, model).collect()}
     assert got[4]["lang_pred"] == "en" and got[2]["lang_pred"] == got[3]["lang_pred"] == got[5]["lang_pred"] == "und" and got[2]["score"] == 0
@@ -248,6 +264,48 @@ def test_toxicity_held_out(spark):
     assert got[5000]["score"] == got[5001]["score"]
 
 
+def test_scores_equal_a_naive_convolution():
+    rows = toxic_rows(300, 6)
+    m = toxicity.train([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows], steps=200)
+    key = {int(k): i for i, k in enumerate(m.keys) if i}
+    for text in [rows[0][1], rows[1][1], "gruk", "the gruk", "", "the  12 of\nviletwo unseenword", None]:
+        words = re.findall(r"[^\W\d_]+", text or "")
+        taps = []
+        for word in words:
+            w = toxicity.Words([word])
+            known = [key.get(int(h[0]), 0) for h in w.hashes(*toxicity.PARTS)]
+            taps.append([sum(float(m.taps[i][c]) for i in known) for c in range(m.taps.shape[1])])
+        z = float(m.out[-1])
+        for k, width in enumerate(toxicity.WIDTHS):
+            for q in range(toxicity.FILTERS):
+                best = 0.0
+                for i in range(len(words)):
+                    best = max(best, float(m.bias[k * toxicity.FILTERS + q]) + sum(taps[i + j][toxicity.taps_of(width).start + j * toxicity.FILTERS + q] for j in range(width) if i + j < len(words)))
+                z += best * float(m.out[k * toxicity.FILTERS + q])
+        assert toxicity.logits([text], m)[0][0] == pytest.approx(z, abs=1e-3)
+
+
+def test_toxicity_of_odd_rows_with_a_model(spark, odd):
+    rows = toxic_rows(300, 6)
+    m = toxicity.train([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows], steps=200)
+    got = toxicity.score_documents(odd, m).collect()
+    assert len(got) == 9 and all(0 <= r["score"] <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(by[1]) == 1 and by[2] == by[3] == by[5]
+    assert toxicity.score_documents(odd.limit(0), m).count() == 0 and toxicity.keep_clean(odd, m).columns == odd.columns
+
+
+def test_documents_that_repeat_an_id_are_fitted_once(spark):
+    rows = toxic_rows(120, 2)
+    docs = spark.createDataFrame([r[:3] for r in rows] * 3 + [(r[0], None, None) for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] * 2, "doc_id bigint, toxic int")
+    a = toxicity.fit(docs, labels, rows=100)
+    b = toxicity.fit(docs.dropDuplicates().repartition(5), labels, rows=100)
+    assert (a.taps == b.taps).all() and (a.cuts == b.cuts).all()
+
+
 def test_toxicity_without_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert toxicity.fit(odd.withColumn("lang", odd["text"]), labels) is None

@@ -268,18 +268,20 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         c = codec(path, pattern)
         out = {"doc_id": keys, "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
         gc.disable()  # the states are many small objects, which collections would visit again and again
-        for text in texts:
-            packed = c.encode_packed(text or "")
-            ids = np.frombuffer(packed, "<u4")
-            digest = hashlib.sha256()
-            for piece in c.decode_stream(ids.tolist()):
-                digest.update(piece.encode())
-            out["n_tokens"].append(len(ids))
-            if with_ids:
-                out["ids"].append(ids.astype(np.int32))
-            out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-            out["decoded_sha256"].append(digest.hexdigest())
-        gc.enable()
+        try:
+            for text in texts:
+                packed = c.encode_packed(text or "")
+                ids = np.frombuffer(packed, "<u4")
+                digest = hashlib.sha256()
+                for piece in c.decode_stream(ids.tolist()):
+                    digest.update(piece.encode())
+                out["n_tokens"].append(len(ids))
+                if with_ids:
+                    out["ids"].append(ids.astype(np.int32))
+                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                out["decoded_sha256"].append(digest.hexdigest())
+        finally:
+            gc.enable()
         return out
 
     schema = "doc_id bigint, n_tokens bigint, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"

@@ -64,16 +64,22 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, columns: list[str]) -> list:
+#: Bytes of text that a fit may use.
+SAMPLE_BYTES = 64 << 20
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, columns: list[str], text: str | None = None) -> DataFrame:
     """At most `rows` rows, those with the smallest key hashes: the same at every run.
 
-    Only hashes travel first; texts are fetched for the chosen rows alone.
+    With a text column, fewer if their texts would exceed SAMPLE_BYTES. Only hashes and lengths
+    reach the driver (`rows` of them).
     """
     h = F.xxhash64(F.col(key).cast("string"))
-    low = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if low is None:
-        return []
-    return df.filter(h <= low).select(*columns).limit(rows).collect()
+    size = F.coalesce(F.octet_length(text), F.lit(0)) if text else F.lit(0)
+    low = df.select(h.alias("h"), size.alias("size")).orderBy("h", "size").limit(rows).collect()
+    upto = np.cumsum([r["size"] for r in low])
+    low = [r["h"] for r, n in zip(low, upto, strict=True) if n <= SAMPLE_BYTES]
+    return df.filter(h <= low[-1] if low else F.lit(False)).select(*columns).limit(rows)
 
 
 def release() -> None:

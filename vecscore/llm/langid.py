@@ -75,9 +75,9 @@ def train(texts: list[str], langs: list[str], switch: float = 10.0, rare: float
 
 
 def fit(docs: DataFrame, rows: int = 6000, learn=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on at most `rows` labelled rows, chosen by key hash among those `learn` admits."""
+    """Train on at most `rows` labelled rows (and SAMPLE_BYTES of text), chosen by key hash among those `learn` admits."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sample = bounded_sample(labelled.filter(learn) if learn is not None else labelled, id_col, rows, [text_col, lang_col])
+    sample = bounded_sample(labelled.filter(learn) if learn is not None else labelled, id_col, rows, [text_col, lang_col], text_col).collect()
     model = train([r[0] for r in sample], [r[1] for r in sample])
     del sample
     release()
@@ -144,7 +144,7 @@ def identify(texts: list[str | None], m: Model, with_spans: bool = False) -> dic
     """lang, score and spans of each text.
 
     lang is the language of most letters (ties: the first by name) or `und` for a text without a
-    letter. score is that language's share of letters times its probability against the others on
+    letter; marks that combine with letters are none themselves. score is that language's share of letters times its probability against the others on
     the words it has; 0 for `und`.
     """
     w = Words(texts)
@@ -154,8 +154,8 @@ def identify(texts: list[str | None], m: Model, with_spans: bool = False) -> dic
     n, width = len(texts), len(m.langs)
     letters = np.bincount(w.doc * width + labels, size, n * width).reshape(n, width) if len(w) else np.zeros((n, width))
     top = letters.argmax(1)
-    total = letters.sum(1)
-    share = letters[np.arange(n), top] / np.maximum(total, 1)
+    total = w.letters
+    share = letters[np.arange(n), top] / np.maximum(letters.sum(1), 1)
     own = by_text(np.where((labels == top[w.doc])[:, None], s, 0.0), w.first, np.add)
     odds = np.exp(np.clip((own - own[np.arange(n), top][:, None]) / 2, -60, 60))
     score = share / odds.sum(1)
@@ -174,7 +174,7 @@ def identify_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_
 
     Null and letterless texts are `und` with score 0, as is everything if no labelled row was
     there to learn from. Null ids and repeated rows are kept, further columns not looked at; spans
-    are offsets of code points in the lower-cased text.
+    are offsets of code points in the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

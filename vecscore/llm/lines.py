@@ -32,11 +32,9 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = RATI
     A line counts once per page; blank lines never count. Rows are pages, repeated ones too.
     """
     keys = F.array_distinct(F.transform(F.filter(_lines(F.coalesce(text, F.lit(""))), lambda x: F.trim(x) != ""), _key))
-    # The page itself counts under the null key, so one pass gives both numbers.
-    seen = docs.select(host.alias("host"), F.explode(F.concat(keys, F.array(F.lit(None).cast("bigint")))).alias("line"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    pages = counts.filter("line is null").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    often = counts.filter((F.col("n") >= least_pages) & F.col("line").isNotNull())
+    counts = docs.select(host.alias("host"), F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    pages = docs.groupBy(host.alias("h")).agg(F.count(F.lit(1)).alias("pages"))  # reads no text
+    often = counts.filter(F.col("n") >= least_pages)
     often = often.join(pages, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 

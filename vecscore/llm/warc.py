@@ -200,8 +200,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
     parsed = stage(parsed.withColumn("payload_digest", F.when((F.col("record_type") == "response") & (F.col("said") != F.col("payload_digest")), F.raise_error(F.lit("a payload's digest is not its header's")).cast("string")).otherwise(F.col("payload_digest"))))
     responses = parsed.filter("record_type = 'response'")
-    targets = responses.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = parsed.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(targets, ["refers_to", "said"], "left")
+    revisits = parsed.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    # Lengths of those responses alone that are referred to, so that a payload with very many revisits is no hot key.
+    wanted = revisits.select(F.col("refers_to").alias("page_id"), F.col("said").alias("payload_digest")).distinct()
+    targets = responses.join(wanted, ["page_id", "payload_digest"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = join_measured(revisits, targets, ["refers_to", "said"], F.lit(64), F.col("page_id"))
     columns = ("page_id", "url", "record_type", "refers_to", "payload_bytes")
     return responses.select(*columns, "payload_digest").unionByName(revisits.select(*columns, F.col("said").alias("payload_digest")))
 

@@ -12,12 +12,17 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @lru_cache(1)
-def letters() -> np.ndarray:
-    """For each code point, whether it is a letter or a mark that combines with one."""
-    out = np.zeros(0x110000, bool)
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: its lower case (one code point, so that places stay), whether it is a letter, and whether a letter or a mark that combines with one."""
+    lower, letter, part = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
     for i in range(0x110000):
-        out[i] = (c := chr(i)).isalpha() or (i >= 0x300 and unicodedata.category(c)[0] == "M")
-    return out
+        c = chr(i)
+        if c.isalpha():
+            letter[i] = part[i] = True
+            lower[i] = ord(c.lower()[0])
+        elif i >= 0x300 and unicodedata.category(c)[0] == "M":
+            part[i] = True
+    return lower, letter, part
 
 
 @lru_cache(1)
@@ -27,20 +32,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Lower-cased words (runs of letters) of some texts.
+    """Lower-cased words (runs of letters and of marks that combine with them) of some texts.
 
     cp: code points of all texts, a 0 after each; start, stop: of each word in cp; doc: whose it is;
-    first: the index of each text's first word, and the number of words at the end.
+    first: the index of each text's first word, and the number of words at the end; letters: how
+    many letters, without marks, each text has; bounds: where each text begins in cp.
     """
 
     def __init__(self, texts: list[str | None]):
-        lowered = [(t or "").lower() for t in texts]
-        cp = np.frombuffer(("\0".join(lowered) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-        mask = letters()[cp]
+        whole = [t or "" for t in texts]
+        lower, letter, part = tables()
+        cp = lower[np.frombuffer(("\0".join(whole) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)]
+        mask = part[cp]
         edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.cp, self.mask = cp, mask
         self.start, self.stop = edge[::2], edge[1::2]
-        self.bounds = np.r_[0, np.cumsum([len(t) + 1 for t in lowered])]
+        self.bounds = np.r_[0, np.cumsum([len(t) + 1 for t in whole], dtype=np.int64)]
+        self.letters = np.diff(np.r_[0, np.cumsum(letter[cp])][self.bounds])
         self.first = np.searchsorted(self.start, self.bounds)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
