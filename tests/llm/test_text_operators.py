@@ -285,6 +285,16 @@ def test_scores_equal_a_naive_convolution():
         assert toxicity.logits([text], m)[0][0] == pytest.approx(z, abs=1e-3)
 
 
+def test_responses_in_both_layouts_agree():
+    r = np.random.default_rng(5)
+    for sizes in ([4, 1, 0, 2, 7], [1], [0], [2, 1, 1]):
+        first = np.r_[0, np.cumsum(sizes)]
+        x, f = r.normal(size=(first[-1], 16)).astype(np.float32), r.normal(size=(16, 48)).astype(np.float32)
+        bias = r.normal(size=24).astype(np.float32)
+        a = toxicity.responses(x @ f, np.repeat(np.arange(len(sizes)), sizes), bias)
+        assert np.allclose(a.T, toxicity.responses_by_filter(x, f, first, bias), atol=1e-4)
+
+
 def test_toxicity_of_odd_rows_with_a_model(spark, odd):
     rows = toxic_rows(300, 6)
     m = toxicity.train([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows], steps=200)
