@@ -65,7 +65,7 @@ def drop_staged(df: DataFrame) -> None:
 
 
 #: Bytes of text that a fit may use.
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 24 << 20
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, columns: list[str], text: str | None = None) -> DataFrame:
@@ -82,12 +82,18 @@ def bounded_sample(df: DataFrame, key: str, rows: int, columns: list[str], text:
     return df.filter(h <= low[-1] if low else F.lit(False)).select(*columns).limit(rows)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the libraries can: a worker that is kept for later tasks should not hold it."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def release() -> None:
-    """Give the driver's freed memory back to the system after a fit, where the C library can."""
+    """Collect garbage and trim(), after a fit."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
 
 
 def crc_mod(key: str, n: int):
@@ -122,6 +128,7 @@ def text_map(df: DataFrame, function: Callable[[list], dict], columns: list[str]
         for lists in text_lists(batches, chars):
             made = function(*lists)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+        trim()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -136,6 +143,7 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], list], chars:
             for (texts,) in text_lists([batch.select([at])], chars):
                 yield batch.slice(start, len(texts)).filter(pa.array(keep(texts), pa.bool_()))
                 start += len(texts)
+        trim()
 
     return df.mapInArrow(run, df.schema)
 

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from vecscore.llm.common import join_measured, stage, text_lists
+from vecscore.llm.common import join_measured, stage, text_lists, trim
 
 SIZE = 2048
 END = 1
 #: Bounds of what one Python worker remembers: pieces of text, and the characters of each.
-MOST_PIECES, LONGEST_PIECE = 1 << 19, 64
+MOST_PIECES, LONGEST_PIECE = 1 << 17, 64
 
 
 @lru_cache(1)
@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                     nth.append(seen[len(part) // 4])
                     seen[len(part) // 4] += 1
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out], pa.array([task] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names=[x.split()[0] for x in _PIECE.split(", ")])
+        trim()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECE)
 
