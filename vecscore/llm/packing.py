@@ -33,7 +33,7 @@ from vecscore.llm.common import join_measured, stage, text_lists, trim
 SIZE = 2048
 END = 1
 #: Bounds of what one Python worker remembers: pieces of text, and the characters of each.
-MOST_PIECES, LONGEST_PIECE = 1 << 17, 64
+MOST_PIECES, LONGEST_PIECE = 1 << 18, 64
 
 
 @lru_cache(1)
