@@ -33,7 +33,7 @@ from vecscore.llm.common import join_measured, stage, text_lists, trim
 SIZE = 2048
 END = 1
 #: Bounds of what one Python worker remembers: pieces of text, and the characters of each.
-MOST_PIECES, LONGEST_PIECE = 1 << 18, 64
+MOST_PIECES, LONGEST_PIECE = 1 << 19, 64
 
 
 @lru_cache(1)
@@ -53,11 +53,13 @@ class _Known(dict):
     """Packed ids by piece of text.
 
     Texts of plain Latin letters are lower-cased and cut as the tokenizer would; any other text is
-    cut at blanks alone, which no token spans.
+    cut at blanks alone, which no token spans. When half of MOST_PIECES are here, they become
+    `old`, and what was old is forgotten; a piece that is met again comes back from there.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = tokenizer
         # For words of letters: the same model after splitting at blanks alone; a word's last token says so.
         self.lean = Tokenizer(tokenizer.model)
@@ -71,9 +73,13 @@ class _Known(dict):
 
     def fill(self, pieces: set[str]) -> dict[str, bytes]:
         """Make sure that all pieces are known; returns those too long to be remembered."""
-        if len(self) > MOST_PIECES:
+        if len(self) > MOST_PIECES // 2:
+            self.old = dict(self)
             self.clear()
         new = [t for t in pieces if t not in self]
+        if self.old:
+            self.update((t, self.old[t]) for t in new if t in self.old)
+            new = [t for t in new if t not in self.old]
         words = [t for t in new if t.isalpha() and t.islower() and len(t) <= LONGEST_PIECE and not _OTHER(t)]
         if words:
             ids = np.array(self.lean.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
