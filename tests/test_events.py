@@ -108,6 +108,13 @@ def test_copies_of_events_are_compared_once_for_votes(spark, repeated, compared)
     assert sum(compared) * 10 < len(events) ** 2 / 9
 
 
+def test_copies_of_events_are_compared_once_for_neighbours(spark, repeated, compared):
+    sf_dir, want, events = repeated
+    got = {(r["qid"], r["rank"], r["ref_id"], r["d2"]) for r in catalog.q_signature_prune_knn(spark, sf_dir).collect()}
+    assert got == {(q, k + 1, ref, d) for q, near in want.items() for k, (ref, d, _) in enumerate(near)}
+    assert sum(compared) * 10 < len(events) ** 2 / 9
+
+
 def test_leaves_of_a_tree_prune_within_a_signature(spark, compared):
     """Unlike points of one signature: few leaves are visited, and nothing is lost, ties included."""
     from vecscore.operators import knn
