@@ -12,11 +12,13 @@ from vecscore.llm import ann, graph, ngram_join, warc
 # --- n-gram join
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
 def brute_components(rows):
-    sets = []
-    for _, text in rows:
-        words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set()))
+    sets = [shingles(text) for _, text in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -62,6 +64,22 @@ def test_components_equal_brute_force(spark, monkeypatch, bundle):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("bundle", [500, 7])
+def test_every_link_is_counted(spark, monkeypatch, bundle):
+    """n_links counts all linked documents, also those that other links connect already."""
+    monkeypatch.setattr(ngram_join, "BUNDLE", bundle)
+    rows = near_copies(300, 9) + [(2000, None), (2003, "a b"), (2004, "A  b"), (2005, "a b c d e")]
+    sets = [shingles(text) for _, text in rows]
+    linked = lambda a, b: (n := len(a & b)) and 100 * n >= 80 * len(a | b)
+    want = collections.Counter((key, sum(1 for j, other in enumerate(sets) if j != i and linked(sets[i], other))) for i, (key, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.join_components(df.repartition(3)).collect()
+    assert max(n for _, n in want) > 3 and collections.Counter((r["doc_id"], r["n_links"]) for r in got) == want
+    alone = ngram_join.join_components(df, counted=False)
+    assert "n_links" not in alone.columns
+    assert collections.Counter(map(tuple, alone.collect())) == brute_components(rows)
+
+
 def test_join_of_nothing_and_of_one_group(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert ngram_join.join_components(df).count() == 0
