@@ -1,3 +1,4 @@
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -117,6 +118,14 @@ def test_copies_of_events_are_compared_once_for_neighbours(spark, repeated, comp
     assert sum(compared) * 10 < len(events) ** 2 / 9
 
 
+def test_copies_of_events_are_compared_once_for_the_fallback(spark, repeated, compared):
+    sf_dir, want, events = repeated
+    got = {r["n_fraud"]: r["n"] for r in catalog.q_fallback_scoring(spark, sf_dir).collect()}
+    error = {r["event_id"] for r in events if r["is_fraud"]}
+    assert got == Counter(0 if q in error else sum(f for _, _, f in near) for q, near in want.items())
+    assert sum(compared) * 10 < len(events) ** 2 / 9
+
+
 def test_payload_files_are_compressed_and_copies_compared_once(spark, repeated, compared):
     sf_dir, want, events = repeated
     shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
