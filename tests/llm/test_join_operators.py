@@ -80,6 +80,19 @@ def test_every_link_is_counted(spark, monkeypatch, bundle):
     assert collections.Counter(map(tuple, alone.collect())) == brute_components(rows)
 
 
+def test_frequencies_reach_the_driver_in_parts(spark, monkeypatch):
+    """The table is never collected whole: its parts come one file at a time."""
+    df = spark.createDataFrame(near_copies(50, 3), "doc_id bigint, text string")
+    want = ngram_join.count_tokens(df, 50).packed
+
+    def refuse(self):
+        raise AssertionError("collected whole")
+
+    monkeypatch.setattr(type(df), "collect", refuse)
+    got = ngram_join.count_tokens(df, 50)
+    assert (got.packed == want).all() and got.packed.any()
+
+
 def test_join_of_nothing_and_of_one_group(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert ngram_join.join_components(df).count() == 0
