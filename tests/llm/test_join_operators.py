@@ -80,6 +80,31 @@ def test_every_link_is_counted(spark, monkeypatch, bundle):
     assert collections.Counter(map(tuple, alone.collect())) == brute_components(rows)
 
 
+def test_a_group_of_near_copies_meets_in_large_parts(spark, monkeypatch):
+    """Near copies whose first minhashes differ do not ask each other's small bundles one by one."""
+    r, word = random.Random(5), lambda r: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, rows = [word(r) for _ in range(120)], []
+    for i in range(300):
+        w = list(base)
+        w[r.randrange(len(w))] = word(r)
+        rows.append((i, " ".join(w)))
+    asked, stage = [], ngram_join.stage
+
+    def counted(df):
+        out = stage(df)
+        asked.extend([out.count()] if out.columns == ["c", "bundle"] else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    monkeypatch.setattr(ngram_join, "BUNDLE", 100)
+    sets = [shingles(text) for _, text in rows]
+    linked = lambda a, b: 100 * (n := len(a & b)) >= 80 * len(a | b) and n > 0
+    want = {(i, sum(linked(a, b) for b in sets) - 1) for i, a in enumerate(sets)}
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(x["doc_id"], x["n_links"]) for x in got} == want and {x["component_id"] for x in got} == {0}
+    assert sum(n for _, n in want) > 60_000 and sum(asked) < 300
+
+
 def test_frequencies_reach_the_driver_in_parts(spark, monkeypatch):
     """The table is never collected whole: its parts come one file at a time."""
     df = spark.createDataFrame(near_copies(50, 3), "doc_id bigint, text string")
