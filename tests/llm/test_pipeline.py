@@ -72,3 +72,14 @@ def _sequences(rows):
     for r in rows:
         out[r["sequence_id"]].append((r["offset"], r["length"]))
     return out.values()
+
+
+def test_a_staged_step_collects_the_drivers_garbage(spark, monkeypatch):
+    from vecscore.sources import store
+
+    monkeypatch.setattr(store, "_settled", 0.0, raising=False)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    stage(spark.range(10))
+    assert full() > before

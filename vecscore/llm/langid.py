@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vecscore.llm.common import bounded_sample, crc_mod, keep_rows, release, text_map
 from vecscore.llm.words import Words, by_text
+from vecscore.sources.store import settle
 
 # The first code point of each script's ranges.
 SCRIPTS = (
@@ -81,6 +82,7 @@ def fit(docs: DataFrame, rows: int = 6000, learn=None, id_col: str = "doc_id", t
     model = train([r[0] for r in sample], [r[1] for r in sample])
     del sample
     release()
+    settle(docs.sparkSession)
     return model
 
 
