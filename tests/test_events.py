@@ -151,3 +151,22 @@ def test_leaves_of_a_tree_prune_within_a_signature(spark, compared):
     key = lambda df: sorted(map(tuple, df.select("qid", "ref_id", "is_fraud", "d2", "rank").collect()))
     assert key(knn.by_signature(queries, points, exclude_self=True)) == key(knn.brute(queries, points, exclude_self=True))
     assert sum(compared) < 600 * 6000 / 2
+
+
+def test_shuffles_of_finished_steps_leave_the_disk(spark, monkeypatch):
+    import time
+
+    from vecscore.sources import store
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in x}
+    before = shuffles()
+    store.staged(spark.range(1000).groupBy(F.col("id") % 7).count())
+    made = shuffles() - before
+    assert made
+    monkeypatch.setattr(store, "_settled", 0.0, raising=False)
+    store.staged(spark.range(1))
+    end = time.monotonic() + 20
+    while made & shuffles() and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not made & shuffles()
