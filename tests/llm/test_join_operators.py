@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vecscore.llm import ann, graph, ngram_join, warc
@@ -105,6 +106,17 @@ def test_a_group_of_near_copies_meets_in_large_parts(spark, monkeypatch):
     assert sum(n for _, n in want) > 60_000 and sum(asked) < 300
 
 
+def test_many_bundles_are_one_group_of_rows(spark):
+    """Small bundles share a task's call, and no link is looked for across bundles."""
+    table = ngram_join.Frequencies(20, np.full(1 << 18, 255, np.uint8))
+    s = [x.tobytes() for x in ngram_join.shingle_sets(["a b c d e f g", "a b c d e f g", "h i j k l m n"])]
+    rows = pd.DataFrame({"bundle": [5, 6, 5, 6, 6], "c": [1, 2, 3, 4, 9], "s": [s[0], s[0], s[1], s[1], s[2]]})
+    assert set(ngram_join.bundle_links(rows, table).itertuples(index=False, name=None)) == {(3, 1), (4, 2)}
+    members = rows.assign(chunk=0, comp=rows["c"])
+    asked = pd.DataFrame({"bundle": [5, 7, 6], "chunk": [0, 0, 1], "c": [10, 11, 12], "comp": [10, 11, 12], "s": [s[0]] * 3})
+    assert set(ngram_join.cross_links(asked, members, table).itertuples(index=False, name=None)) == {(10, 1), (10, 3)}
+
+
 def test_frequencies_reach_the_driver_in_parts(spark, monkeypatch):
     """The table is never collected whole: its parts come one file at a time."""
     df = spark.createDataFrame(near_copies(50, 3), "doc_id bigint, text string")
@@ -148,6 +160,22 @@ def test_components_of_a_long_path(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 1_000_000])
+def test_components_of_a_small_graph_are_one_staged_step(spark, monkeypatch, whole):
+    """Rounds over all tasks are for graphs too large for one; both give the same."""
+    r = random.Random(3)
+    rows = [(r.randrange(300), r.randrange(300)) for _ in range(150)]
+    staged, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: staged.append(1) or stage(df))
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    up = {x: x for row in rows for x in row}
+    for _ in rows:
+        for a, b in rows:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {x["id"]: x["component"] for x in graph.components(spark.createDataFrame(rows, "a bigint, b bigint").repartition(3)).collect()}
+    assert got == up and (len(staged) == 1) == (whole > 0)
+
+
 # --- nearest neighbours
 
 
